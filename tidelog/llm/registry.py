@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidelog.llm import best_fit_packing, quality_rules
+from tidelog.llm import best_fit_packing, personal_data, quality_rules
 
-_MODULES = (best_fit_packing, quality_rules)
+_MODULES = (quality_rules, personal_data, best_fit_packing)
 
 QUERIES: dict[str, Callable] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
