@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidelog.llm import best_fit_packing, decontamination, near_duplicates, personal_data, quality_rules, web_archive
+from tidelog.llm import best_fit_packing, decontamination, license_scan, near_duplicates, personal_data, quality_rules, web_archive
 
-_MODULES = (near_duplicates, quality_rules, web_archive, personal_data, decontamination, best_fit_packing)
+_MODULES = (near_duplicates, quality_rules, web_archive, license_scan, personal_data, decontamination, best_fit_packing)
 
 QUERIES: dict[str, Callable] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
