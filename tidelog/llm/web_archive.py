@@ -29,17 +29,22 @@ END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """The bare upper-case base32 of the SHA-1 of a column's bytes."""
-    fives = [F.conv(F.substring(F.sha1(payload), 10 * i + 1, 10), 16, 10).cast("long") for i in range(4)]
+def with_digest(df: DataFrame, payload: Column, name: str = "digest") -> DataFrame:
+    """df and a column with the bare upper-case base32 of the SHA-1 of the payload; null of null.
+
+    In steps of one column each, so that the SHA-1 is made once and not for each of the 32 letters.
+    """
+    df = df.withColumn("_hex", F.sha1(payload))
+    df = df.withColumns({f"_n{i}": F.conv(F.substring("_hex", 10 * i + 1, 10), 16, 10).cast("long") for i in range(4)})
     letter = lambda n, k: F.substring(F.lit(ALPHABET), F.shiftright(n, 35 - 5 * k).bitwiseAND(31).cast("int") + 1, F.lit(1))
-    return F.concat(*(letter(n, k) for n in fives for k in range(8)))
+    made = F.concat(*(letter(f"_n{i}", k) for i in range(4) for k in range(8)))
+    return df.withColumn(name, made).drop("_hex", *(f"_n{i}" for i in range(4)))
 
 
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, record): each page as the text of a WARC record without its terminator."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), text_of("html").alias("html")).where("page_id is not null")
-    own = own.withColumns({"digest": base32_sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
+    own = with_digest(own, F.col("html").cast("binary")).withColumn("bytes", F.octet_length("html"))
     first = own.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first_id"))
     own = own.join(first, own["digest"] == first["d"], "left")
     revisit = F.coalesce((F.col("bytes") >= least_bytes) & (F.col("first_id") < F.col("page_id")), F.lit(False))
@@ -78,11 +83,12 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     piece = piece.withColumns({"begin": F.octet_length("head").cast("long") + len(END), "length": F.expr("try_cast(regexp_extract(head, '(?im)^Content-Length: *([0-9]+)', 1) as bigint)")})
     piece = piece.withColumn("length", F.when(F.col("begin") + len(MAGIC) <= F.col("size"), F.col("length")))
     body = F.col("value").cast("binary").substr(F.col("begin").cast("int") + 1, F.least("length", F.lit((1 << 31) - 1)).cast("int"))
-    piece = piece.withColumns({"whole": F.coalesce(F.col("begin") + F.col("length") + len(END) + len(MAGIC) == F.col("size"), F.lit(False)), "body": body})
+    piece = piece.withColumns({"whole": F.coalesce(F.col("begin") + F.col("length") + len(END) + len(MAGIC) == F.col("size"), F.lit(False))})
+    piece = with_digest(piece, F.when(F.col("whole"), body))
     small = piece.select(
         "file", "split", "order", "size", F.xxhash64("value").alias("hash"), "whole", "begin", "length",
         field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), field("WARC-Refers-To").alias("refers"), field("WARC-Payload-Digest").alias("stated"),
-        F.when(F.col("whole"), base32_sha1(F.col("body"))).alias("digest"),
+        "digest",
     )
     small = cut(small)
     totals = small.groupBy("file", "split").agg(F.sum("size").alias("total"))
@@ -145,7 +151,8 @@ def _assembled(spark: SparkSession, path: str, found: DataFrame, parts: DataFram
     values = values.groupBy("hash").agg(F.first(F.col("value").cast("binary")).alias("value"))
     whole = wanted.join(values, "hash").groupBy("file", "first", "begin", "length").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("own"))
     text = F.aggregate(F.slice("own", 2, F.size("own")), F.col("own")[0]["value"], lambda so_far, x: F.concat(so_far, F.lit(MAGIC.encode()), x["value"]))
-    digest = whole.withColumn("body", text.substr(F.col("begin").cast("int") + 1, F.col("length").cast("int"))).select("file", F.col("first").alias("at"), base32_sha1(F.col("body")).alias("made"))
+    body = text.substr(F.col("begin").cast("int") + 1, F.col("length").cast("int"))
+    digest = with_digest(whole, body, "made").select("file", F.col("first").alias("at"), "made")
     return parts.join(digest, ["file", "at"]).withColumn("digest", F.col("made")).drop("made")
 
 
