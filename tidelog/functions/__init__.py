@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""The command protocol: wire codec, dispatcher and column forms."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Plans from DataFrames to DataFrames: last-writer-wins resolution, tiers, manifests and replicated logs."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Fixture views over the driver tables and the catalogue of named queries."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Readers of log files."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Ingestion of op-logs as streams."""
