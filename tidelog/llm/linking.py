@@ -1,21 +1,23 @@
 """Connected groups from candidate lists, without all pairs of a list.
 
 A list is the nodes posted under one key. Large lists are mostly members of one group, so the first step tries one
-pair per node, with a pivot of its lists, and joins the confirmed pairs into groups. The second step enumerates, in
-the lists that still hold members of several groups, every pair of members of different groups. A pair inside one
-group needs no test, so no link between groups is lost, and a list of n members of one group costs n pairs.
+pair per node, with the most central member of its lists, and joins the confirmed pairs into groups. The second step
+enumerates, in the lists that still hold members of several groups, the pairs of members of different groups that a
+sound bound on the nodes' features does not rule out. A pair inside one group needs no test, so no link between
+groups is lost, and a list of n members of one group costs n pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.cluster import cut
 
 Verify = Callable[[DataFrame], DataFrame]
+Possible = Callable[[str, str], Column]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,25 +43,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def groups(postings: DataFrame, verify: Verify) -> DataFrame:
+def groups(postings: DataFrame, features: DataFrame, possible: Possible, verify: Verify) -> DataFrame:
     """(node, label) of the nodes in groups of two or more.
 
-    postings: distinct (key, node) rows, node long. verify: gets distinct candidate pairs (a, b), a < b, and returns
-    those that are links. The groups are those of all links between nodes that share a key.
+    postings: distinct (key, node, weight) rows; a list's member of largest weight is taken for its most central one.
+    features: a row per node. possible: of two prefixes of feature columns, false only if such nodes cannot be a link.
+    verify: gets distinct candidate pairs (a, b), a < b, and returns those that are links. The groups are those of all
+    links between nodes that share a key.
     """
-    keys = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    postings = cut(postings.join(keys, "key"))
-    stars = postings.where("node > pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
-    first = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
-    linked = cut(verify(first).select("a", "b"))
+    central = F.max(F.struct("weight", F.col("node").alias("pivot")))
+    keys = postings.groupBy("key").agg(central.alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top.pivot")
+    lists = cut(postings.select("key", "node").join(keys, "key"))
+    names = [c for c in features.columns if c != "node"]
+    side = lambda x: features.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in names))
+    stars = lists.where("node <> pivot").groupBy("pivot", "node").agg(F.count("*").alias("n"))
+    stars = stars.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
+    first = cut(stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
+    linked = cut(verify(first.join(side("a"), "a").join(side("b"), "b").where(possible("a", "b")).select("a", "b")).select("a", "b"))
     labels = cut(components(linked))
-    named = postings.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    named = lists.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     named = cut(named.join(mixed, "key"))
     most = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
     named = named.join(most, "key")
-    left = named.where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    right = named.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("main"))
-    pairs = left.join(right, "key").where("lx <> ly and (main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = named.where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("lx")).join(side("x"), "x")
+    right = named.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("main")).join(side("y"), "y")
+    both = (left["key"] == right["key"]) & F.expr("lx <> ly and (main or x < y)") & possible("x", "y")
+    pairs = left.join(right, both).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = verify(cut(pairs.join(first, ["a", "b"], "left_anti"))).select("a", "b")
     return components(linked.unionByName(rest))

@@ -8,8 +8,10 @@ coordinates collide on average (deviation 3.2); the chance that under 36 do is a
 Counting collisions is done with prefix and skip merging. Values that no other node has cannot collide and are
 skipped, as are nodes with fewer than MATCHES shared values. Of a node's shared values, rarest first, those beyond
 the first (shared - MATCHES + 1) are skipped too: two nodes with MATCHES collisions meet in some value before that.
-So the frequent values of passages that many documents hold are not merged. Candidates' collisions are then counted
-on the whole signatures, and links are confirmed on the full sets: 100 * intersection >= percent * union.
+So the frequent values of passages that many documents hold are not merged. A pair that meets goes on if bitmaps of
+the sets leave it possible (a bit of one map that the other lacks is a shingle outside the intersection), and if
+MATCHES collisions are counted on the whole signatures. Links are confirmed on the full sets: 100 * intersection >=
+percent * union.
 
 Defined results: a null or empty text, or one without words, has the empty set and is a component of its own. A
 null doc_id is a row with null kept and counts for no component's smallest id (a component of null ids only has
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkit as tk
@@ -31,6 +33,8 @@ from tidelog.llm.cluster import cut, documents, ship, text_of
 from tidelog.llm.linking import groups
 
 COORDINATES, MATCHES = 64, 36
+#: Longs of a set's bitmap.
+MAPS = 16
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | tk.U(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -77,13 +81,14 @@ def signed(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """(key, node): the coordinate-value pairs under which each node must be merged."""
+    """(key, node, weight): the coordinate-value pairs under which each node must be merged, and how common its values are."""
     each = nodes.select("node", F.posexplode("signature").alias("pos", "value"))
     each = each.select("node", (F.shiftleft(F.col("pos").cast("long"), 32) + (F.col("value").cast("long") + (1 << 31))).alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     own = each.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))  # at most COORDINATES
+    weight = F.aggregate("own", F.lit(0).cast("long"), lambda total, one: total + one["n"])  # large in the midst of a group of near copies
     first = F.slice("own", 1, F.size("own") - MATCHES + 1)
-    return own.where(F.size("own") >= MATCHES).select("node", F.explode(first).alias("one")).select("node", "one.key")
+    return own.where(F.size("own") >= MATCHES).select("node", weight.alias("weight"), F.explode(first).alias("one")).select("node", "weight", "one.key")
 
 
 def _confirm(percent: int):
@@ -100,14 +105,20 @@ def _confirm(percent: int):
 
 
 def _full_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, set): each text's key and sorted distinct shingles; a node once."""
+    """(node, n, set, bits): each text's key, its sorted distinct shingles and a bitmap of their hashes; a node once."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, values, bounds in _sets(batch.column(0), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, bounds)), tk.binary(values, bounds)], names=["node", "set"])
+            for a, b, values, bounds in _sets(batch.column(0), shingle):
+                owner = np.repeat(np.arange(b - a), np.diff(bounds))
+                maps = np.zeros((b - a, 64 * MAPS), bool)
+                maps[owner, (tk.mix(values) % tk.U(64 * MAPS)).astype(np.int64)] = True
+                flat = np.packbits(maps, axis=1, bitorder="little").view(np.int64)
+                own = [pa.array(_nodes(values, bounds)), pa.array(np.diff(bounds)), tk.binary(values, bounds), *(pa.array(flat[:, i]) for i in range(MAPS))]
+                yield pa.RecordBatch.from_arrays(own, names=["node", "n", "set", *(f"m{i}" for i in range(MAPS))])
 
-    return texts.mapInArrow(gather, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+    schema = "node long, n long, set binary, " + ", ".join(f"m{i} long" for i in range(MAPS))
+    return texts.mapInArrow(gather, schema).dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
@@ -116,21 +127,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))
     rows = cut(signed(texts, shingle))
     one_of = F.min(F.struct("doc_id", "hash")).alias("pick")  # the document whose text is read again
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), one_of, F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), one_of, F.first("signature").alias("signature"))
     nodes = cut(nodes)
+    posts = cut(postings(nodes))
+    active = nodes.join(posts.select("node").distinct(), "node", "left_semi").select(F.col("pick.doc_id").alias("id"), F.col("pick.hash").alias("h"))
+    read = texts.join(active, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left_semi")
+    sets = cut(_full_sets(read.select("text"), shingle))
+    signs = nodes.select("node", "signature")
+
+    def possible(x: str, y: str) -> Column:
+        """Each bit that one set's map has and the other's lacks is a shingle outside the intersection."""
+        lone = lambda a, b: sum((F.bit_count(F.col(f"{a}_m{i}").bitwiseAND(F.bitwise_not(f"{b}_m{i}"))) for i in range(MAPS)), F.lit(0))
+        most = F.least(F.col(f"{x}_n") - lone(x, y), F.col(f"{y}_n") - lone(y, x))
+        return 100 * most >= percent * (F.col(f"{x}_n") + F.col(f"{y}_n") - most)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one, two = (nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "signature", "pick"))) for x in "ab")
-        near = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        same = F.size(F.filter(F.zip_with("signature_a", "signature_b", lambda x, y: x == y), lambda z: z))
-        near = cut(near.where(same >= MATCHES).select("a", "b", "pick_a", "pick_b"))
-        wanted = near.select(F.explode(F.array("pick_a", "pick_b")).alias("w")).select(F.col("w.doc_id").alias("id"), F.col("w.hash").alias("h")).distinct()
-        read = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left_semi")
-        sets = cut(_full_sets(read.select("text"), shingle))
+        one, two = (signs.select(F.col("node").alias(x), F.col("signature").alias(f"s_{x}")) for x in "ab")
+        same = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda z: z))
+        near = pairs.join(one, "a").join(two, "b").where(same >= MATCHES).select("a", "b")
         one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-        return near.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+        return near.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
-    labels = groups(postings(nodes), verify)
+    labels = groups(posts, sets.drop("set"), possible, verify)
     named = nodes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")
