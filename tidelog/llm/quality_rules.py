@@ -125,22 +125,44 @@ def measure(data: np.ndarray, offs: np.ndarray, ratio: np.ndarray) -> dict[str,
     }
 
 
-def judge(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
-    """docs and the columns of JUDGED: base_failed if a text has under min_words words, or repeats over max_repeat_percent of them."""
+def verdict(m: dict[str, np.ndarray], threshold: float, min_words: int = 20, max_repeat_percent: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """(base rules failed, kept): under min_words words, or repeats over max_repeat_percent of them, fail."""
+    failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
+    return failed, ~failed & (m["score"] >= threshold)
+
+
+def judge(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The columns of JUDGED for each document."""
     ratio = ratio.astype(np.float64)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in tk.pieces(batch.column(1)):
                 m = measure(data, offs, ratio)
-                failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
+                failed, kept = verdict(m, threshold)
                 rest = [pa.array(m[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-                own = [batch.column(0).slice(a, b - a), *rest, pa.array(failed), pa.array(~failed & (m["score"] >= threshold)), pa.array(m["score"])]
+                own = [batch.column(0).slice(a, b - a), *rest, pa.array(failed), pa.array(kept), pa.array(m["score"])]
                 yield pa.RecordBatch.from_arrays(own, names=[f.split()[0] for f in JUDGED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(score, JUDGED)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose document is kept, with docs' own columns. The verdict is found row by row: nothing is shuffled."""
+    ship(docs.sparkSession)
+    ratio = log_ratio(docs, target_ids(labels)).astype(np.float64)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("t", text_of(f"c{names.index('text')}"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in tk.pieces(batch.column(len(names))):
+                m = measure(data, offs, ratio)
+                yield batch.slice(a, b - a).select(range(len(names))).filter(pa.array(verdict(m, threshold)[1]))
+
+    return plain.mapInArrow(keep, plain.drop("t").schema).toDF(*names)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document with its base counts, score and verdict."""
     ship(docs.sparkSession)
