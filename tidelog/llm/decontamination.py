@@ -118,19 +118,17 @@ class Items:
         # texts and items of k words or more share k-word shingles; shorter items are looked up by their own size
         by_length: dict[int, np.ndarray] = {}
         for size in {min(k, int(length)) for length in np.unique(self.length) if length}:
-            made = everywhere if size == k or n < k else tk.grams(words, size)
-            if n < size:
-                made = everywhere
+            made = tk.grams(words, size) if size < k and size <= n else everywhere
             at = np.flatnonzero(self.seen[(made & tk.U((1 << 20) - 1)).astype(np.int64)]) if size == k else np.arange(len(made))
             lo, hi = np.searchsorted(self.shingle_sorted, made[at], "left"), np.searchsorted(self.shingle_sorted, made[at], "right")
             for place, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for length in {int(x) for x in self.length[self.shingle_item[a:b]] if min(k, x) == size or n < k}:
+                for length in {int(x) for x in self.length[self.shingle_item[a:b]] if min(k, x) == size}:
                     span = max(1, min(length, n) - size + 1)
                     marks = by_length.setdefault(length, np.zeros(max(1, n - length + 1), bool))
                     marks[max(0, place - span + 1) : place + 1] = True
         for length, marks in by_length.items():
             size = min(k, length)
-            made = everywhere if size == k or n < k else tk.grams(words, size)
+            made = tk.grams(words, size) if size < k and size <= n else everywhere
             starts = np.flatnonzero(marks)
             span = max(1, min(length, n) - size + 1)
             lo, hi = starts.min(), min(len(made), starts.max() + span)

@@ -138,7 +138,7 @@ def shingles(hashes: np.ndarray, text: np.ndarray, n_texts: int, k: int) -> tupl
     short = []
     for m in range(1, k):
         if len(own := np.flatnonzero(counts == m)):
-            total = np.full(len(own), m, U) * _COMBINE[40]
+            total = np.zeros(len(own), U)
             for j in range(m):
                 total += hashes[firsts[own] + j] * _COMBINE[j + 1]
             short.append((mix(total), own))
