@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.cluster import cut, shared_dir, table, text_of
+from tidelog.llm.cluster import cut, saved, shared_dir, table, text_of
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -45,9 +45,11 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, record): each page as the text of a WARC record without its terminator."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), text_of("html").alias("html")).where("page_id is not null")
     own = with_digest(own, F.col("html").cast("binary")).withColumn("bytes", F.octet_length("html"))
-    first = own.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first_id"))
-    own = own.join(first, own["digest"] == first["d"], "left")
-    revisit = F.coalesce((F.col("bytes") >= least_bytes) & (F.col("first_id") < F.col("page_id")), F.lit(False))
+    small = own.where(F.col("bytes") >= least_bytes).select("page_id", "digest")
+    first = small.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = saved(small.join(first, "digest").where("first_id < page_id").distinct())
+    own = own.join(again, ["page_id", "digest"], "left")  # pages stay where they are if the planner finds the revisits few
+    revisit = F.col("first_id").isNotNull()
     body = F.when(revisit, "").otherwise(F.col("html"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
     head = [
