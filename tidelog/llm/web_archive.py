@@ -44,11 +44,12 @@ def with_digest(df: DataFrame, payload: Column, name: str = "digest") -> DataFra
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, record): each page as the text of a WARC record without its terminator."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), text_of("html").alias("html")).where("page_id is not null")
-    own = with_digest(own, F.col("html").cast("binary")).withColumn("bytes", F.octet_length("html"))
-    small = own.where(F.col("bytes") >= least_bytes).select("page_id", "digest")
-    first = small.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = saved(small.join(first, "digest").where("first_id < page_id").distinct())
-    own = own.join(again, ["page_id", "digest"], "left")  # pages stay where they are if the planner finds the revisits few
+    own = own.withColumns({"sha": F.unhex(F.sha1(F.col("html").cast("binary"))), "bytes": F.octet_length("html")})
+    small = saved(own.where(F.col("bytes") >= least_bytes).select("page_id", "sha"))
+    first = small.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = saved(small.join(first, "sha").where("first_id < page_id").distinct())
+    own = own.join(again, ["page_id", "sha"], "left")  # pages stay where they are if the planner finds the revisits few
+    own = with_digest(own, F.col("html").cast("binary"))
     revisit = F.col("first_id").isNotNull()
     body = F.when(revisit, "").otherwise(F.col("html"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
