@@ -133,7 +133,7 @@ class RunLengthIndex:
 
     def __init__(self, data: np.ndarray):
         order = suffix_array(data)
-        before = np.where(order > 0, data[order - 1], -1).astype(np.int16)  # the first suffix has an end mark of its own before it
+        before = np.where(order > 0, data.astype(np.int16)[order - 1], np.int16(-1))  # the first suffix has an end mark of its own before it
         heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         tails = np.concatenate([heads[1:] - 1, [len(order) - 1]])
         self.n, self.chars, self.sizes = len(data), before[heads], tails - heads + 1
