@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.cluster import cut
+from tidelog.llm.cluster import cut, saved
 
 Verify = Callable[[DataFrame], DataFrame]
 Possible = Callable[[str, str], Column]
@@ -43,6 +43,24 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _lists(postings: DataFrame) -> DataFrame:
+    """(key, node, pivot) of the lists of two or more members; the pivot is the member of largest weight.
+
+    One aggregate keeps the least member of each of four hash classes. That holds all of most short lists, which then
+    need no second pass; the postings are read again for the keys of the others only.
+    """
+    of = F.pmod(F.xxhash64("node"), F.lit(4))
+    some = [F.min(F.when(of == i, F.struct("node", "weight"))).alias(f"m{i}") for i in range(4)]
+    keys = postings.groupBy("key").agg(F.count("*").alias("n"), *some).where("n > 1")
+    keys = saved(keys.select("key", "n", F.array_compact(F.array(*(f"m{i}" for i in range(4)))).alias("members")))
+    short = keys.where(F.size("members") == F.col("n"))
+    top = F.array_max(F.transform("members", lambda m: F.struct(m["weight"].alias("w"), m["node"].alias("node"))))
+    short = short.select("key", F.explode("members.node").alias("node"), top["node"].alias("pivot"))
+    long = postings.join(keys.where(F.size("members") < F.col("n")).select("key"), "key")
+    central = long.groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("pivot"))).alias("top")).select("key", "top.pivot")
+    return short.unionByName(long.select("key", "node").join(central, "key"))
+
+
 def groups(postings: DataFrame, features: DataFrame, possible: Possible, verify: Verify) -> DataFrame:
     """(node, label) of the nodes in groups of two or more.
 
@@ -51,9 +69,7 @@ def groups(postings: DataFrame, features: DataFrame, possible: Possible, verify:
     verify: gets distinct candidate pairs (a, b), a < b, and returns those that are links. The groups are those of all
     links between nodes that share a key.
     """
-    central = F.max(F.struct("weight", F.col("node").alias("pivot")))
-    keys = postings.groupBy("key").agg(central.alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "top.pivot")
-    lists = cut(postings.select("key", "node").join(keys, "key"))
+    lists = cut(_lists(postings))
     names = [c for c in features.columns if c != "node"]
     side = lambda x: features.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in names))
     stars = lists.where("node <> pivot").groupBy("pivot", "node").agg(F.count("*").alias("n"))
