@@ -74,37 +74,34 @@ def stretches(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: in
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by doubling the compared length from eight bytes on."""
+    """Suffixes in order, by doubling the compared length from seven bytes on; those already told apart are left alone.
+
+    A suffix's rank is the first place of those equal to it so far.
+    """
     n = len(data)
-    padded = np.zeros(n + 8, np.uint8)
-    padded[:n] = data
+    padded = np.zeros(n + 7, tk.U)
+    padded[:n] = data.astype(tk.U) + tk.U(1)  # the end of the text comes before every byte
     key = np.zeros(n, tk.U)
-    for i in range(8):
-        key = key << tk.U(8) | padded[i : n + i]
-    order = np.argsort(key, kind="stable")
-    step = 8
-    # a suffix under eight bytes long has no byte 0 of its own, so it is told apart by its length
-    rank = _ranks(order, key[order], np.minimum(n - order, 8))
-    while step < n and rank[order[-1]] + 1 < n:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank.astype(tk.U) * tk.U(n + 1) + after.astype(tk.U)
-        order = np.argsort(key, kind="stable")
-        rank = _ranks(order, key[order], None)
+    for i in range(7):
+        key = key << tk.U(9) | padded[i : n + i]
+    order = np.argsort(key)
+    new = np.ones(n + 1, bool)
+    new[1:-1] = key[order][1:] != key[order][:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new[:-1], np.arange(n), 0))
+    step = 7
+    while len(todo := np.flatnonzero(~(new[:-1] & new[1:]))):
+        own = order[todo]
+        after = np.where(own + step < n, rank[np.minimum(own + step, n - 1)] + 1, 0)
+        key = rank[own].astype(tk.U) << tk.U(32) | after.astype(tk.U)
+        again = np.argsort(key)
+        order[todo], key = own[again], key[again]
+        new[todo] = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[todo]] = np.maximum.accumulate(np.where(new[todo], todo, 0))
         step *= 2
     return order
 
 
-def _ranks(order: np.ndarray, keys: np.ndarray, sizes: np.ndarray | None) -> np.ndarray:
-    new = np.zeros(len(order), np.int64)
-    new[1:] = keys[1:] != keys[:-1]
-    if sizes is not None:
-        new[1:] |= sizes[1:] != sizes[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
-    return out
-
-
 def common(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lengths of the common prefixes of pairs of suffixes."""
     out = np.zeros(len(a), np.int64)
