@@ -3,9 +3,9 @@
 Documents become token ids (byte-level BPE, then an end id). Longer ones are cut into pieces of ``capacity``; the
 first piece may be shorter. Pieces are dealt by a hash into groups of bounded size, and each group is packed by
 best-fit decreasing. A group whose number of bins equals the best dual-feasible-function lower bound is certified:
-no packing of its pieces uses fewer. Groups with a gap release their emptiest bins; the pieces released by
-``fan`` groups meet and are packed again, until no group has a gap or one group is left. A repacking that does not
-save bins is not taken.
+no packing of its pieces uses fewer. But several certified groups can have room left that one group would not, so
+every group releases its emptiest bins, and one with a gap to its bound the more of them; the pieces released by
+``fan`` groups meet and are packed again, until one group is left. A repacking that does not save bins is not taken.
 
 Defined results: a null or empty text is the end id alone; a null doc_id is kept; repeated rows are packed as
 documents of their own; an empty table gives no rows. Other columns of the input are ignored.
@@ -129,7 +129,7 @@ def _packed(pdf: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
     bound = lower_bound(pdf["length"].to_numpy(), capacity)
     gap = bins - bound
     emptiest = pdf.assign(free=free)[["sequence_id", "free"]].drop_duplicates().sort_values(["free", "sequence_id"], ascending=[False, True])
-    emptiest = emptiest[emptiest["free"] > 0]["sequence_id"].head(0 if last or not gap else 16 + 64 * gap)
+    emptiest = emptiest[emptiest["free"] > 0]["sequence_id"].head(0 if last else 16 + 64 * gap)
     return pdf.assign(round=turn, bins=bins, bound=bound, released=pdf["sequence_id"].isin(emptiest))
 
 
