@@ -168,3 +168,18 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_near_duplicates": op1_near_duplicates}
+ORACLES = {
+    "op1_near_duplicates": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select doc_id, list_distinct(case when len(ws) = 0 then cast([] as varchar[]) when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] for i in range(1, len(ws) - 2)] end) as sh from w),
+n as (select doc_id, len(sh) as n from s),
+e as (select doc_id, unnest(sh) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+l as (select p.a, p.b from p join n na on na.doc_id = p.a join n nb on nb.doc_id = p.b where 100 * k >= 80 * (na.n + nb.n - k)),
+r as (select doc_id, doc_id as c from n union select r.doc_id, l.b from r join l on r.c = l.a)
+select r.doc_id, n.n as n_shingles, min(c) as component_id, min(c) = r.doc_id as kept from r join n on n.doc_id = r.doc_id group by r.doc_id, n.n
+"""
+}
