@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.cluster import cut, saved
+from tidelog.llm.cluster import cut, release, saved
 
 Verify = Callable[[DataFrame], DataFrame]
 Possible = Callable[[str, str], Column]
@@ -44,19 +44,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """(key, node, pivot) of the lists of two or more members; the pivot is the member of largest weight.
+    """(key, node, pivot) of the lists of two or more members; the pivot of a long list is the member of largest weight.
 
-    One aggregate keeps the least member of each of four hash classes. That holds all of most short lists, which then
-    need no second pass; the postings are read again for the keys of the others only.
+    One aggregate keeps a list's largest member and the least of each of four hash classes. That is all of a pair and
+    of most short lists, which need no second pass; the postings are read again for the keys of the others only.
     """
     of = F.pmod(F.xxhash64("node"), F.lit(4))
-    some = [F.min(F.when(of == i, F.struct("node", "weight"))).alias(f"m{i}") for i in range(4)]
-    keys = postings.groupBy("key").agg(F.count("*").alias("n"), *some).where("n > 1")
-    keys = saved(keys.select("key", "n", F.array_compact(F.array(*(f"m{i}" for i in range(4)))).alias("members")))
-    short = keys.where(F.size("members") == F.col("n"))
-    top = F.array_max(F.transform("members", lambda m: F.struct(m["weight"].alias("w"), m["node"].alias("node"))))
-    short = short.select("key", F.explode("members.node").alias("node"), top["node"].alias("pivot"))
-    long = postings.join(keys.where(F.size("members") < F.col("n")).select("key"), "key")
+    some = [F.min(F.when(of == i, F.col("node"))).alias(f"m{i}") for i in range(4)]
+    keys = postings.groupBy("key").agg(F.count("*").alias("n"), F.max("node").alias("m4"), *some).where("n > 1")
+    keys = saved(keys.select("key", "n", F.array_distinct(F.array_compact(F.array(*(f"m{i}" for i in range(5))))).alias("members")))
+    release(postings.sparkSession)
+    short = keys.where(F.size("members") == F.col("n")).select("key", F.explode("members").alias("node"), F.array_min("members").alias("pivot"))
+    others = saved(keys.where(F.size("members") < F.col("n")).select("key"))
+    long = saved(postings.join(others, "key"))
     central = long.groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("pivot"))).alias("top")).select("key", "top.pivot")
     return short.unionByName(long.select("key", "node").join(central, "key"))
 
@@ -70,6 +70,7 @@ def groups(postings: DataFrame, features: DataFrame, possible: Possible, verify:
     links between nodes that share a key.
     """
     lists = cut(_lists(postings))
+    release(postings.sparkSession)
     names = [c for c in features.columns if c != "node"]
     side = lambda x: features.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in names))
     stars = lists.where("node <> pivot").groupBy("pivot", "node").agg(F.count("*").alias("n"))
@@ -77,6 +78,7 @@ def groups(postings: DataFrame, features: DataFrame, possible: Possible, verify:
     first = cut(stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
     linked = cut(verify(first.join(side("a"), "a").join(side("b"), "b").where(possible("a", "b")).select("a", "b")).select("a", "b"))
     labels = cut(components(linked))
+    release(postings.sparkSession)
     named = lists.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     named = cut(named.join(mixed, "key"))
@@ -86,5 +88,6 @@ def groups(postings: DataFrame, features: DataFrame, possible: Possible, verify:
     right = named.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("main")).join(side("y"), "y")
     both = (left["key"] == right["key"]) & F.expr("lx <> ly and (main or x < y)") & possible("x", "y")
     pairs = left.join(right, both).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    release(postings.sparkSession)
     rest = verify(cut(pairs.join(first, ["a", "b"], "left_anti"))).select("a", "b")
     return components(linked.unionByName(rest))
