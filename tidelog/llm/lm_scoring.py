@@ -7,8 +7,8 @@ that both models know equally much and a text of common words has a difference n
 mean over its tokens of its loss under the target model less that under the background model: the lower, the more
 like the target. Counts cover all texts and grow with them; what is sent to each task is of fixed size.
 
-The vocabulary is the ``VOCABULARY`` most frequent words of the corpus (ties by hash); all others are one unknown
-word. Bigrams are counted in ``CELLS`` cells by a hash of their two words; texts begin with a start mark.
+The vocabulary is the most frequent words of the corpus, by whole classes of like frequency (64 to an octave) as long
+as they are ``VOCABULARY`` at most: one count per class, no sorting of all words. All others are one unknown word. Bigrams are counted in ``CELLS`` cells by a hash of their two words; texts begin with a start mark.
 
 Defined results: a null or empty text, or one without words, has 0 tokens, losses and score null; a null doc_id is
 kept and is no target; repeated rows each give a row; an empty table gives no rows; without any target row each score
@@ -73,7 +73,7 @@ def _sparse(raw: np.ndarray, good: np.ndarray, first: int) -> list[pa.Array]:
 
 
 def vocabulary(marked: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes, ascending, of the most frequent words of texts (text, trusted)."""
+    """Hashes, ascending, of the most frequent words of texts (text, trusted), at most size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,8 +83,14 @@ def vocabulary(marked: DataFrame, size: int = VOCABULARY) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(totals.astype(np.int64))], names=["word", "n"])
 
     counts = marked.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
-    return np.sort(top.column("word").to_numpy().view(tk.U))
+    counts = saved(counts.withColumn("class", F.floor(64 * F.log2("n")).cast("int")))
+    least, room = None, size
+    for r in counts.groupBy("class").count().orderBy(F.desc("class")).collect():  # some thousands at most
+        if (room := room - r["count"]) < 0:
+            break
+        least = r["class"]
+    words = counts.where(F.lit(False) if least is None else F.col("class") >= least).select("word").toArrow()
+    return np.sort(words.column("word").to_numpy().view(tk.U))
 
 
 def models(marked: DataFrame, size: int = VOCABULARY) -> Models:
