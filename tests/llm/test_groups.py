@@ -173,6 +173,11 @@ def test_line_dedup(spark):
     assert stage.columns == ["doc_id", "text", "row", "node", "n_chars"] and stage.where("n_chars <> length(text)").count() == 0
 
 
+def test_short_lines_are_lines(spark):
+    rows = [(1, "and ornd.\nsome other line of this text"), (2, "and ornd.\n\nA\n \n\n"), (3, "a\nand ornd.")]
+    assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame(spark, rows)).collect()} == {1: rows[0][1], 2: "\nA\n \n\n", 3: ""}
+
+
 def test_lines_stay_out_of_python(spark):
     plan = line_dedup.line_dedup(frame(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
