@@ -178,6 +178,11 @@ def test_short_lines_are_lines(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame(spark, rows)).collect()} == {1: rows[0][1], 2: "\nA\n \n\n", 3: ""}
 
 
+def test_lines_equal_but_for_blanks_and_punctuation(spark):
+    rows = [(1, "The tide, at last: it turned"), (2, "the  tide\tat last -- it turned!\r\n---\n***"), (3, "---\r\nother words stand here")]
+    assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame(spark, rows)).collect()} == {1: rows[0][1], 2: "---\n***", 3: "other words stand here"}
+
+
 def test_lines_stay_out_of_python(spark):
     plan = line_dedup.line_dedup(frame(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
