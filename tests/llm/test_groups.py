@@ -173,6 +173,27 @@ def test_line_dedup(spark):
     assert stage.columns == ["doc_id", "text", "row", "node", "n_chars"] and stage.where("n_chars <> length(text)").count() == 0
 
 
+def test_similar_lines_against_edit_similarity_alone(spark):
+    """Lines with words replaced or misspelt: no group may go beyond edit similarity, and few links may be missed."""
+    random.seed(12)
+    vocabulary = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random.choice([2, 3, 5, 6, 8, 9]))) for _ in range(2000)]
+    lines = []
+    for k in range(120):
+        base = [random.choice(vocabulary) for _ in range([1, 2, 3, 5, 8, 10, 20, 40][k % 8])]
+        lines.append(" ".join(base))
+        other = list(base)
+        for at in random.sample(range(len(base)), 1 + len(base) // 12):
+            w = other[at]
+            other[at] = random.choice(vocabulary) if k % 3 == 0 else w[:1] + random.choice("0123456789") + w[2:]
+        lines.append(" ".join(other))
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if 5 * distance(lines[a], lines[b]) <= max(len(lines[a]), len(lines[b]))]
+    tops = grouped(range(len(lines)), links)
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(frame(spark, list(enumerate(lines))), radius=None).collect()}
+    should = {i for i in range(len(lines)) if any(tops[j] == tops[i] for j in range(i))}
+    gone = {i for i, n in out.items() if n}
+    assert gone <= should and len(should) > 60 and len(should - gone) <= len(should) // 50, sorted(should - gone)
+
+
 def test_short_lines_are_lines(spark):
     rows = [(1, "and ornd.\nsome other line of this text"), (2, "and ornd.\n\nA\n \n\n"), (3, "a\nand ornd.")]
     assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame(spark, rows)).collect()} == {1: rows[0][1], 2: "\nA\n \n\n", 3: ""}
