@@ -143,6 +143,24 @@ def test_lm_losses_by_hand(spark):
         assert got[i]["background_loss"] == pytest.approx(loss([t for _, t in rows], 0.3, t), abs=1e-5)
 
 
+def test_lm_counts_grow_with_the_input(spark):
+    """More word types than 2**16 and more trusted rows than 20,000: each word and each row counts."""
+    rows = [(i, f"w{i} x{i} y{i} z{i}") for i in range(20_010)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20_005)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_scoring.lm_scoring(docs, labels).collect()}
+    scale, size, bi = 20_005 / 20_010, 4 * 20_010 + 1, lm_scoring.BIGRAM
+
+    def loss(n, texts):
+        single = (n + 1) / (4 * texts + size)
+        first, next_ = (n + 1) / (texts + size), (n + 1) / (n + size)
+        return -(np.log(bi * first + (1 - bi) * single) + 3 * np.log(bi * next_ + (1 - bi) * single)) / 4
+
+    for i, _ in rows:
+        assert got[i]["target_loss"] == pytest.approx(loss(int(i < 20_005), 20_005), abs=1e-7)
+        assert got[i]["background_loss"] == pytest.approx(loss(scale, 20_005), abs=1e-7)
+
+
 # licences
 
 

@@ -1,149 +1,128 @@
 """Cross-entropy difference between matched target and background n-gram models.
 
 Both are additively smoothed bigram models over one vocabulary, mixed with unigrams at the same weight. The
-background counts every text of the corpus; the target counts trusted texts (see ``quality_rules.target_ids``: a
-bounded sample of labelled rows). Background counts are scaled to the target's number of tokens before smoothing, so
-that both models know equally much and a text of common words has a difference near 0. A document's score is the
-mean over its tokens of its loss under the target model less that under the background model: the lower, the more
-like the target. Counts cover all texts and grow with them; what is sent to each task is of fixed size.
+background counts every text of the corpus; the target counts the texts of all trusted rows (quality 1, not toxic).
+Background counts are scaled to the target's number of tokens before smoothing, so that both models know equally much
+and a text of common words has a difference near 0. A document's score is the mean over its tokens of its loss under
+the target model less that under the background model: the lower, the more like the target.
 
-The vocabulary is the most frequent words of the corpus, by whole classes of like frequency (64 to an octave) as long
-as they are ``VOCABULARY`` at most: one count per class, no sorting of all words. All others are one unknown word. Bigrams are counted in ``CELLS`` cells by a hash of their two words; texts begin with a start mark.
+The vocabulary is every word of the corpus, and one more for unknown words. Counts are tables by (word before, word),
+by word and by word before, summed in batches before they are shuffled; each distinct bigram gets its two losses by
+joins of these tables, and the bigrams of each text are joined to them. Nothing that grows with the input is gathered
+in one place but the sums of two numbers. Texts begin with a start mark.
 
 Defined results: a null or empty text, or one without words, has 0 tokens, losses and score null; a null doc_id is
 kept and is no target; repeated rows each give a row; an empty table gives no rows; without any target row each score
-is 0. Other columns of the input are ignored.
+is 0. Other columns of the input are ignored. Losses of bigrams are rounded to 1e-9 and summed as integers, so that
+the order of the rows does not matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkit as tk
-from tidelog.llm.cluster import documents, saved, ship, table, text_of
-from tidelog.llm.quality_rules import target_ids
+from tidelog.llm.cluster import documents, release, saved, ship, table, text_of
 
-VOCABULARY = 1 << 16
-CELLS = 1 << 20
 #: Weight of the bigram in the mixture, and what is added to each count.
 BIGRAM, ADDED = 0.3, 1.0
-SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+#: Losses are summed in units of 1 / UNIT nats.
+UNIT = 10**9
+#: The word before the first of a text.
+START = tk.U(0x5851F42D4C957F2D)
 
 
-@dataclass
-class Models:
-    """Log probabilities are made from: word hashes, counts by word, bigram cell and context, target and background."""
+def pairs_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, text) of each token."""
+    hashes, text, _, _ = tk.words(data, offs)
+    before = np.full(len(hashes), START)
+    before[1:] = np.where(text[1:] == text[:-1], hashes[:-1], START)
+    return before, hashes, text
 
-    words: np.ndarray
-    one: np.ndarray
-    two: np.ndarray
-    context: np.ndarray
 
-    def losses(self, word: np.ndarray, cell: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """(target, background) loss of each token, in nats."""
-        out = np.empty((2, len(word)))
-        for k in range(2):
-            size = len(self.words) + 1
-            single = (self.one[k][word] + ADDED) / (self.one[k].sum() + ADDED * size)
-            double = (self.two[k][cell] + ADDED) / (self.context[k][before] + ADDED * size)
-            out[k] = -np.log(BIGRAM * double + (1 - BIGRAM) * single)
-        return out
+def _counted(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one of each distinct combination of keys, and how often each stands there."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
 
 
-def tokens(hashes: np.ndarray, text: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, bigram cell, word before) of each token, as numbers; len(words) is unknown and len(words) + 1 the start mark."""
-    n = len(words)
-    at = np.minimum(np.searchsorted(words, hashes), max(0, n - 1))
-    word = np.where(words[at] == hashes, at, n) if n else np.zeros(len(hashes), np.int64)
-    before = np.full(len(word), n + 1, np.int64)
-    before[1:] = np.where(text[1:] == text[:-1], word[:-1], n + 1)
-    cell = (tk.mix(before.astype(tk.U) * tk.U(0x9E3779B97F4A7C15) + word.astype(tk.U)) % tk.U(CELLS)).astype(np.int64)
-    return word, cell, before
+def _long(values: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-def _sparse(raw: np.ndarray, good: np.ndarray, first: int) -> list[pa.Array]:
-    some = np.flatnonzero(raw)
-    return [pa.array(some + first), pa.array(raw[some]), pa.array(good[some])]
-
-
-def vocabulary(marked: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes, ascending, of the most frequent words of texts (text, trusted), at most size."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.unique(tk.words(data, offs)[0], return_counts=True) for _, _, data, offs in tk.pieces(batch.column(0))]
-            values, at = np.unique(np.concatenate([w for w, _ in own]) if own else np.zeros(0, tk.U), return_inverse=True)
-            totals = np.bincount(at, np.concatenate([c for _, c in own]), len(values)) if own else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(totals.astype(np.int64))], names=["word", "n"])
-
-    counts = marked.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = saved(counts.withColumn("class", F.floor(64 * F.log2("n")).cast("int")))
-    least, room = None, size
-    for r in counts.groupBy("class").count().orderBy(F.desc("class")).collect():  # some thousands at most
-        if (room := room - r["count"]) < 0:
-            break
-        least = r["class"]
-    words = counts.where(F.lit(False) if least is None else F.col("class") >= least).select("word").toArrow()
-    return np.sort(words.column("word").to_numpy().view(tk.U))
-
-
-def models(marked: DataFrame, size: int = VOCABULARY) -> Models:
-    """Both models of texts (text, trusted)."""
-    words = vocabulary(marked, size)
-    n = len(words) + 2
+def bigrams(marked: DataFrame) -> DataFrame:
+    """(before, word, raw, good) of texts (text, trusted): how often each bigram stands in all and in trusted texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 2 * n + CELLS), np.int64)
         for batch in batches:
             trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for a, b, data, offs in tk.pieces(batch.column(0)):
-                hashes, text, _, _ = tk.words(data, offs)
-                word, cell, before = tokens(hashes, text, words)
+                before, word, text = pairs_of(data, offs)
                 good = trusted[a:b][text]
-                for first, of in ((0, word), (n, before), (2 * n, cell)):
-                    for k, some in enumerate((of, of[good])):
-                        found = np.bincount(some)
-                        counts[k, first : first + len(found)] += found
-        yield pa.RecordBatch.from_arrays(_sparse(counts[0], counts[1], 0), names=["cell", "raw", "good"])
-
-    rows = marked.mapInArrow(count, "cell long, raw long, good long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
-    both = np.zeros((2, 2 * n + CELLS))
-    at = rows.column("cell").to_numpy()
-    both[0, at], both[1, at] = rows.column("good").to_numpy(), rows.column("raw").to_numpy()
-    scale = both[0, :n].sum() / max(1.0, both[1, :n].sum())
-    if not scale:
-        both[0], scale = both[1], 1.0
-    both[1] *= scale
-    both = both.astype(np.float32).astype(np.float64)
-    return Models(words, both[:, :n], both[:, 2 * n :], both[:, n : 2 * n])
-
-
-def lm_scoring(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
+                at, n = _counted(good, word, before)
+                yield pa.RecordBatch.from_arrays([_long(before[at]), _long(word[at]), pa.array(n), pa.array(np.where(good[at], n, 0))], names=["before", "word", "raw", "good"])
+
+    counts = marked.mapInArrow(count, "before long, word long, raw long, good long")
+    return counts.groupBy("before", "word").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+
+
+def losses(counts: DataFrame) -> DataFrame:
+    """(before, word, target, background): the loss of each bigram under both models, in nats / UNIT."""
+    both = lambda x: [F.sum("raw").alias(f"{x}_raw"), F.sum("good").alias(f"{x}_good")]
+    one = saved(counts.groupBy("word").agg(*both("one")))
+    context = counts.groupBy("before").agg(*both("context"))
+    n, raw, good = one.agg(F.count("*"), F.sum("one_raw"), F.sum("one_good")).first()
+    size, raw, good = n + 1, raw or 0, good or 0
+    scale = good / raw if good else 1.0
+
+    def loss(kind: str, scale: float, total: float) -> Column:
+        of = lambda c: F.col(c) * F.lit(scale) + F.lit(ADDED)
+        single = of(f"one_{kind}") / F.lit(total + ADDED * size)
+        double = of(kind) / (F.col(f"context_{kind}") * F.lit(scale) + F.lit(ADDED * size))
+        return F.round(-F.log(F.lit(BIGRAM) * double + F.lit(1 - BIGRAM) * single) * F.lit(UNIT)).cast("long")
+
+    made = counts.join(one, "word").join(context, "before")
+    target = loss("good", 1.0, float(good)) if good else loss("raw", 1.0, float(raw))
+    return made.select("before", "word", target.alias("target"), loss("raw", scale, scale * raw).alias("background"))
+
+
+def lm_scoring(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row per document with its mean losses in nats and their difference."""
     ship(docs.sparkSession)
-    ids = F.broadcast(saved(target_ids(labels)).select(F.col("doc_id").alias("target_id")))
+    ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("target_id")).distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     marked = own.join(ids, F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("trusted"))
-    sent = docs.sparkSession.sparkContext.broadcast(models(marked, size))
+    counts = saved(bigrams(marked))
+    release(docs.sparkSession)
+    known = saved(losses(counts))
+    release(docs.sparkSession)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = sent.value
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's distinct bigrams; and for each text a row with its id, whose bigram is the text's number: of no text."""
         for batch in batches:
+            row = batch.column(2).to_numpy()
             for a, b, data, offs in tk.pieces(batch.column(1)):
-                hashes, text, _, _ = tk.words(data, offs)
-                loss = made.losses(*tokens(hashes, text, made.words))
-                n = np.bincount(text, minlength=b - a)
-                mean = [np.round(np.bincount(text, x, b - a) / np.maximum(n, 1), 9) for x in loss]
-                columns = [pa.array(x, mask=n == 0) for x in (*mean, np.round(mean[0] - mean[1], 9))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *columns], names=[f.split()[0] for f in SCORED.split(", ")])
-
-    return own.mapInArrow(score, SCORED)
+                before, word, text = pairs_of(data, offs)
+                at, n = _counted(word, before, text)
+                names, zeros = ["row", "doc_id", "before", "word", "n"], np.zeros(b - a, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array(row[a:b]), pa.array(zeros), pa.array(zeros)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(row[a:b][text[at]]), pa.nulls(len(at), pa.int64()), _long(before[at]), _long(word[at]), pa.array(n)], names=names)
+
+    numbered = own.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    parts = numbered.mapInArrow(spread, "row long, doc_id long, before long, word long, n long").join(known, ["before", "word"], "left")
+    total = lambda c: F.coalesce(F.sum(F.col(c) * F.col("n")), F.lit(0))
+    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), total("target").alias("t"), total("background").alias("b"))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.round(c / F.col("n_tokens") / F.lit(float(UNIT)), 9))
+    made = sums.select("doc_id", "n_tokens", mean(F.col("t")).alias("target_loss"), mean(F.col("b")).alias("background_loss"))
+    return made.withColumn("score", F.round(F.col("target_loss") - F.col("background_loss"), 9))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
