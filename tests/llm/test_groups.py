@@ -127,6 +127,11 @@ def test_edit_similarity(spark):
         assert r["s"] == (distance(r["x"], r["y"]) <= most), r
 
 
+def test_edit_similarity_of_long_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG", 0)
+    test_edit_similarity(spark)
+
+
 def test_line_dedup(spark):
     random.seed(5)
     vocabulary = [f"w{i}" for i in range(300)]
