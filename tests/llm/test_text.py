@@ -7,6 +7,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -35,6 +36,30 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+# hashes
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[i.bit_count() + flip & 1] for i in range(n))
+
+
+def test_hashes_of_words_lines_and_windows_of_thue_morse_strings():
+    from tidelog.llm import textkit as tk
+
+    for n in (1, 7, 8, 9, 64, 1024, 1 << 14):
+        data = np.frombuffer(f"{thue_morse(n)} {thue_morse(n, 1)}".encode(), np.uint8)
+        one, two = tk.words(data, np.array([0, len(data)]))[0].tolist()
+        assert one != two
+        again = np.frombuffer(f"xyz {thue_morse(n, 1)}".encode(), np.uint8)
+        assert tk.words(again, np.array([0, len(again)]))[0][1] == two
+    rng, seen = random.Random(1), {}
+    own = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 18))) for _ in range(30_000)]
+    data = np.frombuffer(" ".join(own).encode(), np.uint8)
+    for h, w in zip(tk.words(data, np.array([0, len(data)]))[0].tolist(), own, strict=True):
+        assert seen.setdefault(h, w) == w
+    assert len(seen) == len(set(own))
+
+
 # quality rules
 
 
@@ -51,7 +76,7 @@ def plain_counts(text):
 
 
 def test_quality_rules(spark):
-    rows = some_texts() + ODD + [(907, "one two three four five six seven eight " * 9)]
+    rows = some_texts() + ODD + [(907, "one two three four five six seven eight " * 9), (908, thue_morse(1024) + "\n" + thue_morse(1024, 1))]
     labels = spark.createDataFrame([(i, 1, 0, "x") for i in range(0, 60, 2)] + [(None, 1, 0, "y"), (904, 1, None, "z")], "doc_id long, quality int, toxic int, text string")
     got = quality_rules.quality_rules(frame(spark, rows), labels).collect()
     assert len(got) == len(rows)
@@ -117,48 +142,50 @@ def test_lm_scores_separate_held_out_texts(spark):
             assert r["score"] == pytest.approx(r["target_loss"] - r["background_loss"], abs=1e-8)
 
 
-def test_lm_losses_by_hand(spark):
-    rows = [(1, "a b a"), (2, "b b c"), (3, "a a a a")]
-    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in lm_scoring.lm_scoring(frame(spark, rows), labels).collect()}
-
-    def loss(counted, scale, text):
-        one, two, context, total = collections.Counter(), collections.Counter(), collections.Counter(), 0
-        for t in counted:
-            own = t.split()
-            total += len(own)
-            one.update(own)
-            two.update(zip(["<s>", *own], own, strict=False))
-            context.update(["<s>", *own][: len(own)])
-        size, bi, k, out = 4, lm_scoring.BIGRAM, lm_scoring.ADDED, 0
-        own = text.split()
-        for v, w in zip(["<s>", *own], own, strict=False):
-            single = (one[w] * scale + k) / (total * scale + k * size)
-            double = (two[v, w] * scale + k) / (context[v] * scale + k * size)
-            out -= np.log(bi * double + (1 - bi) * single)
-        return out / len(own)
-
+def plain_losses(rows, good, prior, added):
+    """Losses of each row by models of all other rows' tokens."""
+    one, two, contexts = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    own = []
     for i, t in rows:
-        assert got[i]["target_loss"] == pytest.approx(loss(["a b a"], 1, t), abs=1e-5)
-        assert got[i]["background_loss"] == pytest.approx(loss([t for _, t in rows], 0.3, t), abs=1e-5)
+        w = words(t)
+        own.append((i in good, w, collections.Counter(w), collections.Counter(zip(["<s>", *w], w, strict=False)), collections.Counter(["<s>"] if w else [])))
+        for part, counts in zip((one, two, contexts), own[-1][2:], strict=True):
+            part[i in good].update(counts)
+    vocabulary = len(one[0] + one[1] + contexts[0] + contexts[1])
+    out = []
+    for kind, w, one_own, two_own, start_own in own:
+        models = [[one[k] - one_own, two[k] - two_own, contexts[k] - start_own] if k == kind else [one[k], two[k], contexts[k]] for k in (True, False)]
+        models = [m if m[0] else models[1 - k] for k, m in enumerate(models)]
+        sizes, found = [m[0].total() for m in models], []
+        for m, scale in zip(models, (1, sizes[0] / max(sizes[1], 1)), strict=True):
+            loss = 0
+            for v, x in zip(["<s>", *w], w, strict=False):
+                single = (m[0][x] * scale + added) / (sizes[0] + added * (vocabulary + 1))
+                loss -= np.log((m[1][v, x] * scale + prior * single) / ((m[2][v] if v == "<s>" else m[0][v]) * scale + prior))
+            found.append(loss / len(w) if w else None)
+        out.append((len(w), *found))
+    return out
 
 
-def test_lm_counts_grow_with_the_input(spark):
-    """More word types than 2**16 and more trusted rows than 20,000: each word and each row counts."""
-    rows = [(i, f"w{i} x{i} y{i} z{i}") for i in range(20_010)]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(20_005)], "doc_id long, quality int, toxic int")
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lm_scoring.lm_scoring(docs, labels).collect()}
-    scale, size, bi = 20_005 / 20_010, 4 * 20_010 + 1, lm_scoring.BIGRAM
+@pytest.mark.parametrize(("chunk", "bucket"), [(8 << 20, 1 << 20), (300, 50)])
+def test_lm_losses_against_plain_counts(spark, chunk, bucket):
+    rows = some_texts(190) + ODD
+    good = set(range(0, 190, 3)) | {905}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(None, 1, 0), (1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = collections.defaultdict(list)
+    for r in lm_scoring.lm_scoring(frame(spark, rows).repartition(5), labels, chunk, bucket, 2.0, 0.5).collect():
+        got[r["doc_id"]].append(tuple(r)[1:])
+    assert sum(map(len, got.values())) == len(rows)
+    for (i, _), (n, target, rest) in zip(rows, plain_losses(rows, good, 2.0, 0.5), strict=True):
+        r = got[i][0]
+        assert r[0] == n and (n == 0) == (r[3] is None)
+        if n:
+            assert r[1:] == pytest.approx((target, rest, target - rest), abs=1e-7), i
 
-    def loss(n, texts):
-        single = (n + 1) / (4 * texts + size)
-        first, next_ = (n + 1) / (texts + size), (n + 1) / (n + size)
-        return -(np.log(bi * first + (1 - bi) * single) + 3 * np.log(bi * next_ + (1 - bi) * single)) / 4
 
-    for i, _ in rows:
-        assert got[i]["target_loss"] == pytest.approx(loss(int(i < 20_005), 20_005), abs=1e-7)
-        assert got[i]["background_loss"] == pytest.approx(loss(scale, 20_005), abs=1e-7)
+def test_lm_without_targets(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in lm_scoring.lm_scoring(frame(spark, [(1, "a b"), (2, "b c"), (3, "")]), labels).collect()} == {0.0, None}
 
 
 # licences
@@ -185,6 +212,14 @@ def test_license_scan(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_licences_in_a_megabyte_of_phrases(spark):
+    began = time.monotonic()
+    rows = [(1, "under the mit license " * 45_000), (2, "mit " * 250_000), (3, "cc by nc 4 0 " * 80_000)]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert [got[i]["n_base"] for i in (1, 2, 3)] == [45_000, 0, 80_000] and got[1]["last_word"] == 4 * 44_999
+    assert time.monotonic() - began < 120
+
+
 # personal data
 
 PATTERNS = {
@@ -220,6 +255,13 @@ def test_personal_data(spark):
     assert [s.split(":")[0] for s in spans.split(",")] == ["iban", "secret", "url"]
 
 
+def test_texts_of_a_megabyte_in_linear_time():
+    for text in ("token=" * 170_000, "1.2." * 250_000, "4111 " * 200_000, "a@" * 500_000, "://x" * 250_000, "+1" * 500_000, "iban DE" * 140_000, "token = " + "a" * 1_000_000, "x://" * 250_000):
+        began = time.monotonic()
+        personal_data.spans(text)
+        assert time.monotonic() - began < 20, text[:20]
+
+
 # archives
 
 

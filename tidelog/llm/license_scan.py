@@ -97,7 +97,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     words = F.col("words")
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(keys, h["w"]))
-    starts = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("at")))))
+    starts = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: (h["i"] - p["p"]).cast("long") * len(known) + p["t"])))  # one number, so that distinct ones are found by hashing
+    place_of = lambda x: F.struct(F.pmod(x, F.lit(len(known))).cast("int").alias("t"), F.floor(x / F.lit(len(known))).cast("int").alias("at"))
     place = lambda s, j: (F.get(words, s["at"] + j) == F.get(F.get(text_words, s["t"]), j)) & (s["at"] + j >= 0)
     every = lambda s: F.sequence(F.lit(0), F.size(F.get(text_words, s["t"])) - 1)
     stands = lambda s, j: F.coalesce(place(s, j), F.lit(False))
@@ -108,7 +109,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         return F.struct(s["t"].alias("t"), s["at"].alias("at"), F.least(F.lit(1.0), got / F.get(totals, s["t"])).alias("score"), key.alias("key"))
 
     nothing = F.array().cast("array<struct<t:int,at:int,score:double,key:boolean>>")
-    found = F.when(F.arrays_overlap(words, keys), F.transform(F.array_distinct(starts), judged)).otherwise(nothing)
+    found = F.when(F.arrays_overlap(words, keys), F.transform(F.transform(F.array_distinct(starts), place_of), judged)).otherwise(nothing)
     out = own.select("doc_id", F.size("words").cast("long").alias("n_words"), found.alias("found"))
     is_base = lambda f: F.get(base, f["t"])
     accepted = F.filter("found", lambda f: f["key"] & (f["score"] >= LEAST_SCORE))

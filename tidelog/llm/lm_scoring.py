@@ -1,128 +1,211 @@
 """Cross-entropy difference between matched target and background n-gram models.
 
-Both are additively smoothed bigram models over one vocabulary, mixed with unigrams at the same weight. The
-background counts every text of the corpus; the target counts the texts of all trusted rows (quality 1, not toxic).
-Background counts are scaled to the target's number of tokens before smoothing, so that both models know equally much
-and a text of common words has a difference near 0. A document's score is the mean over its tokens of its loss under
-the target model less that under the background model: the lower, the more like the target.
-
-The vocabulary is every word of the corpus, and one more for unknown words. Counts are tables by (word before, word),
-by word and by word before, summed in batches before they are shuffled; each distinct bigram gets its two losses by
-joins of these tables, and the bigrams of each text are joined to them. Nothing that grows with the input is gathered
-in one place but the sums of two numbers. Texts begin with a start mark.
+Both are bigram models over one vocabulary, every word of the corpus and one more for unknown words. Bigrams back off
+to unigrams by Dirichlet smoothing: p(w | v) = (c(v w) + prior p(w)) / (c(v) + prior), and p(w) has ``added`` added to each
+count. The target counts the texts of all trusted rows (quality 1, not toxic), the background all other texts. Its
+counts are scaled to the target's number of tokens, so that both models know equally much. A text is scored by models
+without its own tokens: else a trusted text would find its rarest bigrams in the target and any other in the
+background, and the score would say which rows were trusted. A document's score is the mean over its tokens of its
+loss under the target model less that under the background model: the lower, the more like the target.
+
+How counts are gathered. The texts are taken in chunks of about ``chunk_bytes``; a chunk numbers its distinct words
+and bigrams, and keeps what each of its texts has of them. The 64-bit hashes of these n-grams are dealt into buckets;
+a chunk sends each bucket one packed row of the hashes that fall in it, with their counts in this chunk. A bucket adds
+up the chunks' counts and sends each of them the totals of its own n-grams, in the order in which it asked. So each
+distinct n-gram of a chunk crosses the network once as eight bytes and comes back as its totals, which pack well; a
+word that all texts share is asked for once per chunk. The number of buckets grows with the corpus; a bucket holds
+about ``bucket_grams`` n-grams. (Packing pays while a chunk has many n-grams for each bucket: for tens of terabytes
+both parameters should be 16 times their defaults, and a task then holds a few hundred megabytes.) Only the corpus' numbers of tokens, words and n-grams come to the driver.
 
 Defined results: a null or empty text, or one without words, has 0 tokens, losses and score null; a null doc_id is
-kept and is no target; repeated rows each give a row; an empty table gives no rows; without any target row each score
-is 0. Other columns of the input are ignored. Losses of bigrams are rounded to 1e-9 and summed as integers, so that
-the order of the rows does not matter.
+kept and is no target; repeated rows each give a row; an empty table gives no rows; without any other target row, or
+without any other background row, both models are the one there is and the score is 0. Other columns of the input are
+ignored. N-grams of equal hashes are counted as one.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkit as tk
 from tidelog.llm.cluster import documents, release, saved, ship, table, text_of
 
-#: Weight of the bigram in the mixture, and what is added to each count.
-BIGRAM, ADDED = 0.3, 1.0
-#: Losses are summed in units of 1 / UNIT nats.
-UNIT = 10**9
+#: Weight of the unigram estimate, in tokens; and what is added to each unigram count.
+PRIOR, ADDED = 100.0, 0.05
+CHUNK_BYTES, BUCKET_GRAMS = 8 << 20, 1 << 20
 #: The word before the first of a text.
 START = tk.U(0x5851F42D4C957F2D)
-
-
-def pairs_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word before, word, text) of each token."""
-    hashes, text, _, _ = tk.words(data, offs)
-    before = np.full(len(hashes), START)
-    before[1:] = np.where(text[1:] == text[:-1], hashes[:-1], START)
-    return before, hashes, text
-
-
-def _counted(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of one of each distinct combination of keys, and how often each stands there."""
-    order = np.lexsort(keys)
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    at = np.flatnonzero(new)
-    return order[at], np.diff(np.append(at, len(order)))
-
-
-def _long(values: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(values).view(np.int64))
-
-
-def bigrams(marked: DataFrame) -> DataFrame:
-    """(before, word, raw, good) of texts (text, trusted): how often each bigram stands in all and in trusted texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+CHUNKS = "chunk long, bucket int, n long, data binary"
+SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def _deflated(*arrays: np.ndarray) -> bytes:
+    return zlib.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+
+
+def _inflated(data: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
+    data, at, out = zlib.decompress(data), 0, []
+    for kind, n in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def n_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, bigram with the word before) of each token: its text's row, and hashes."""
+    text, word, pair = [], [], []
+    for a, _, data, offs in tk.pieces(column):
+        hashes, owner, _, _ = tk.words(data, offs)
+        before = np.full(len(hashes), START)
+        before[1:] = np.where(owner[1:] == owner[:-1], hashes[:-1], START)
+        text.append(owner + a)
+        word.append(hashes)
+        pair.append(tk.mix(before * tk.U(0x9E3779B97F4A7C15) + hashes ^ tk.U(1 << 63)))
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return join(text, np.int64), join(word, tk.U), join(pair, tk.U)
+
+
+def _scan(buckets: int, chunk_bytes: int):
+    """Rows of CHUNKS: of bucket -1 what a chunk needs to score its texts, of -2 its trusted tokens; of each other the n-grams and counts."""
+
+    def chunk(number: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        n, null = whole.num_rows, np.asarray(whole.column(0).is_null())
+        ids = whole.column(0).fill_null(0).to_numpy()
+        trusted = whole.column(2).to_numpy().astype(bool)
+        text, word, pair = n_grams(whole.column(1))
+        size = np.bincount(text, minlength=n)
+        some = np.flatnonzero(size)  # their starts are counted as words before the first one
+        words, at_word = np.unique(np.concatenate([word, np.full(len(some), START)]), return_inverse=True)
+        pairs, at_pair = np.unique(pair, return_inverse=True)
+        keys = np.concatenate([words, pairs])
+        at = np.concatenate([at_word, at_pair + len(words)])
+        own = np.concatenate([trusted[text], trusted[some], trusted[text]])
+        single = np.arange(len(keys)) < len(words)
+        where = (tk.mix(keys) % tk.U(buckets)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        raw, good = np.bincount(rank[at], minlength=len(keys)), np.bincount(rank[at], own, len(keys))
+        keys, single, ends = keys[order], single[order], np.searchsorted(where[order], np.arange(buckets + 1))
+        start = int(rank[at_word[-1]]) if len(some) else 0
+        header = np.array([n, len(word), len(keys), start], np.int64).tobytes()
+        place = rank[at_word[: len(word)]], rank[at_pair + len(words)]
+        rows = [
+            (number, -1, len(word), header + _deflated(ids, null.astype("u1"), trusted.astype("u1"), size.astype("u4"), *(p.astype("u4") for p in place))),
+            (number, -2, int(trusted[text].sum()), b""),
+        ]
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            part = slice(ends[b], ends[b + 1])
+            rows.append((number, b, int(ends[b + 1] - ends[b]), keys[part].tobytes() + _deflated(raw[part].astype("u4"), good[part].astype("u4"), single[part].astype("u1"))))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "bucket", "n", "data"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = number = 0
         for batch in batches:
-            trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, data, offs in tk.pieces(batch.column(0)):
-                before, word, text = pairs_of(data, offs)
-                good = trusted[a:b][text]
-                at, n = _counted(good, word, before)
-                yield pa.RecordBatch.from_arrays([_long(before[at]), _long(word[at]), pa.array(n), pa.array(np.where(good[at], n, 0))], names=["before", "word", "raw", "good"])
-
-    counts = marked.mapInArrow(count, "before long, word long, raw long, good long")
-    return counts.groupBy("before", "word").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-
-
-def losses(counts: DataFrame) -> DataFrame:
-    """(before, word, target, background): the loss of each bigram under both models, in nats / UNIT."""
-    both = lambda x: [F.sum("raw").alias(f"{x}_raw"), F.sum("good").alias(f"{x}_good")]
-    one = saved(counts.groupBy("word").agg(*both("one")))
-    context = counts.groupBy("before").agg(*both("context"))
-    n, raw, good = one.agg(F.count("*"), F.sum("one_raw"), F.sum("one_good")).first()
-    size, raw, good = n + 1, raw or 0, good or 0
-    scale = good / raw if good else 1.0
-
-    def loss(kind: str, scale: float, total: float) -> Column:
-        of = lambda c: F.col(c) * F.lit(scale) + F.lit(ADDED)
-        single = of(f"one_{kind}") / F.lit(total + ADDED * size)
-        double = of(kind) / (F.col(f"context_{kind}") * F.lit(scale) + F.lit(ADDED * size))
-        return F.round(-F.log(F.lit(BIGRAM) * double + F.lit(1 - BIGRAM) * single) * F.lit(UNIT)).cast("long")
-
-    made = counts.join(one, "word").join(context, "before")
-    target = loss("good", 1.0, float(good)) if good else loss("raw", 1.0, float(raw))
-    return made.select("before", "word", target.alias("target"), loss("raw", scale, scale * raw).alias("background"))
-
-
-def lm_scoring(docs: DataFrame, labels: DataFrame) -> DataFrame:
+            for a, b, data, _ in tk.pieces(batch.column(1)):
+                if not held:
+                    number = batch.column(3)[a].as_py()  # a chunk is named by the number of its first text
+                held.append(batch.slice(a, b - a))
+                size += len(data)
+                if size >= chunk_bytes:
+                    yield from chunk(number, held)
+                    held, size = [], 0
+        if held:
+            yield from chunk(number, held)
+
+    return scan
+
+
+def _total(asked: pa.Table) -> pa.Table:
+    """Of one bucket: to each chunk the totals (all, trusted) of its n-grams; and to none the number of distinct words."""
+    sizes, parts = asked.column("n").to_pylist(), []
+    for n, data in zip(sizes, asked.column("data"), strict=True):
+        data = data.as_py()
+        parts.append((np.frombuffer(data, tk.U, n), *_inflated(data[8 * n :], ("u4", n), ("u4", n), ("u1", n))))
+    own, raw, good, single = (np.concatenate(p) for p in zip(*parts, strict=True))
+    keys, at = np.unique(own, return_inverse=True)
+    raw, good = np.bincount(at, raw, len(keys)).astype(np.int64), np.bincount(at, good, len(keys)).astype(np.int64)
+    words = np.zeros(len(keys), bool)
+    words[at] = single == 1
+    ends = np.cumsum([0, *sizes]).tolist()
+    data = [_deflated(raw[at[a:b]], good[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    columns = [[*asked.column("chunk").to_pylist(), None], [asked.column("bucket")[0].as_py()] * (len(sizes) + 1), [*sizes, int(words.sum())], [*data, b""]]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "bucket", "n", "data"])
+
+
+def losses(raw: np.ndarray, good: np.ndarray, own: np.ndarray, trusted: np.ndarray, tokens: np.ndarray, totals: tuple[int, int], words: int, prior: float = PRIOR, added: float = ADDED) -> tuple[np.ndarray, np.ndarray]:
+    """Losses in nats of tokens under the target and under the background.
+
+    raw, good and own: counts, in all texts, in trusted texts and in the token's own text, of (the word before, the
+    word, the bigram). trusted and tokens: kind and size of the token's text. A model without tokens gives way to the other.
+    """
+    target, rest = good - np.where(trusted, own, 0), raw - good - np.where(trusted, 0, own)
+    n_target, n_rest = totals[1] - np.where(trusted, tokens, 0), totals[0] - totals[1] - np.where(trusted, 0, tokens)
+    target, n_target = np.where(n_target > 0, target, rest), np.where(n_target > 0, n_target, n_rest)
+    rest, n_rest = np.where(n_rest > 0, rest, target), np.where(n_rest > 0, n_rest, n_target)
+    scale = n_target / np.maximum(n_rest, 1)
+
+    def loss(before: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        single = (word + added) / (n_target + added * (words + 1))
+        return -np.log((pair + prior * single) / (before + prior))
+
+    return loss(*target), loss(*(rest * scale))
+
+
+def _own(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """How often each token's n-gram stands in the token's text."""
+    _, where, counts = np.unique(text * max(n, 1) + at, return_inverse=True, return_counts=True)
+    return counts[where]
+
+
+def _scorer(totals: tuple[int, int], words: int, prior: float, added: float):
+    def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        data = texts.column("data")[0].as_py()
+        n, tokens, n_keys, start = np.frombuffer(data, np.int64, 4).tolist()
+        ids, null, trusted, size, at_word, at_pair = _inflated(data[32:], ("i8", n), ("u1", n), ("u1", n), ("u4", n), ("u4", tokens), ("u4", tokens))
+        counts = counts.sort_by("bucket")
+        parts = [_inflated(d.as_py(), ("i8", k), ("i8", k)) for k, d in zip(counts.column("n").to_pylist(), counts.column("data"), strict=True)]
+        raw, good = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in (0, 1))
+        text, size = np.repeat(np.arange(n), size), size.astype(np.int64)
+        own_word, own_pair = _own(text, at_word, n_keys), _own(text, at_pair, n_keys)
+        first = np.ones(tokens, bool)
+        first[1:] = text[1:] != text[:-1]
+        at = np.stack([np.where(first, start, np.roll(at_word, 1)), at_word, at_pair])
+        own = np.stack([np.where(first, 1, np.roll(own_word, 1)), own_word, own_pair])
+        found = losses(raw[at], good[at], own, trusted[text].astype(bool), size[text], totals, words, prior, added)
+        target, background = (np.round(np.bincount(text, x, n) / np.maximum(size, 1), 9) for x in found)
+        some = lambda x: pa.array(x, pa.float64(), mask=size == 0)
+        columns = [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(size), some(target), some(background), some(np.round(target - background, 9))]
+        return pa.Table.from_arrays(columns, names=[f.split()[0] for f in SCORED.split(", ")])
+
+    return score
+
+
+def lm_scoring(docs: DataFrame, labels: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_grams: int = BUCKET_GRAMS, prior: float = PRIOR, added: float = ADDED) -> DataFrame:
     """A row per document with its mean losses in nats and their difference."""
     ship(docs.sparkSession)
     ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("target_id")).distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    marked = own.join(ids, F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("trusted"))
-    counts = saved(bigrams(marked))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // (3 * bucket_grams)))  # about one n-gram for three bytes of text
+    marked = own.join(ids, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("trusted"), F.monotonically_increasing_id().alias("number"))
+    chunks = saved(marked.mapInArrow(_scan(buckets, chunk_bytes), CHUNKS))
+    totals = saved(chunks.where("bucket >= 0").groupBy("bucket").applyInArrow(_total, CHUNKS))
     release(docs.sparkSession)
-    known = saved(losses(counts))
-    release(docs.sparkSession)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's distinct bigrams; and for each text a row with its id, whose bigram is the text's number: of no text."""
-        for batch in batches:
-            row = batch.column(2).to_numpy()
-            for a, b, data, offs in tk.pieces(batch.column(1)):
-                before, word, text = pairs_of(data, offs)
-                at, n = _counted(word, before, text)
-                names, zeros = ["row", "doc_id", "before", "word", "n"], np.zeros(b - a, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array(row[a:b]), pa.array(zeros), pa.array(zeros)], names=names)
-                yield pa.RecordBatch.from_arrays([pa.array(row[a:b][text[at]]), pa.nulls(len(at), pa.int64()), _long(before[at]), _long(word[at]), pa.array(n)], names=names)
-
-    numbered = own.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    parts = numbered.mapInArrow(spread, "row long, doc_id long, before long, word long, n long").join(known, ["before", "word"], "left")
-    total = lambda c: F.coalesce(F.sum(F.col(c) * F.col("n")), F.lit(0))
-    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), total("target").alias("t"), total("background").alias("b"))
-    mean = lambda c: F.when(F.col("n_tokens") > 0, F.round(c / F.col("n_tokens") / F.lit(float(UNIT)), 9))
-    made = sums.select("doc_id", "n_tokens", mean(F.col("t")).alias("target_loss"), mean(F.col("b")).alias("background_loss"))
-    return made.withColumn("score", F.round(F.col("target_loss") - F.col("background_loss"), 9))
+    words = totals.where("chunk is null").agg(F.sum("n")).first()[0] or 0
+    tokens, trusted = chunks.agg(F.sum(F.when(F.col("bucket") == -1, F.col("n"))), F.sum(F.when(F.col("bucket") == -2, F.col("n")))).first()
+    texts, counts = chunks.where("bucket = -1").groupBy("chunk"), totals.where("chunk is not null").groupBy("chunk")
+    return texts.cogroup(counts).applyInArrow(_scorer((tokens or 0, trusted or 0), words, prior, added), SCORED)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

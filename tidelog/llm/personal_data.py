@@ -106,10 +106,9 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
                     found["url"].append((start, end))
                     free["url"] = end
         elif at >= free[kind] and (m := (VALUE if kind == "secret" else IBAN).match(text, last + 1)):
-            valid = any(c.isdigit() for c in m[1]) if kind == "secret" else _mod97(m[1].replace(" ", ""))
-            if valid:
+            free[kind] = m.end()
+            if any(c.isdigit() for c in m[1]) if kind == "secret" else _mod97(m[1].replace(" ", "")):
                 found[kind].append(m.span(1))
-                free[kind] = m.end()
     return found
 
 

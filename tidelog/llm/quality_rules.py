@@ -111,7 +111,7 @@ def measure(data: np.ndarray, offs: np.ndarray, ratio: np.ndarray) -> dict[str,
     line_from, line_to, line_text = tk.runs(data != 0x0A, offs)
     with_word = np.searchsorted(starts, line_from) < np.searchsorted(starts, line_to)
     line_from, line_to, line_text = line_from[with_word], line_to[with_word], line_text[with_word]
-    dup = _duplicates(tk.spans(tk.sums(data, False), line_from, line_to), line_text)
+    dup = _duplicates(tk.spans(tk.Sums(data, False), line_from, line_to), line_text)
     cell, owner = cells(hashes, text, len(ratio))
     total, grams = np.bincount(owner, ratio[cell.astype(np.int64)], n), np.bincount(owner, minlength=n)
     symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])

@@ -60,7 +60,7 @@ def stretches(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: in
     n = len(data) - length + 1
     if n <= 0:
         return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, tk.U), np.zeros(0, tk.U))
-    prefix = tk.sums(data, False)
+    prefix = tk.Sums(data, False)
     at = np.arange(len(data) - gram + 1)
     hashes = tk.spans(prefix, at, at + gram)
     bits = tk.U(int(len(at)).bit_length())
@@ -206,7 +206,7 @@ def _window_hashes(length: int):
                 shift = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
                 at = offs[owner] + shift
                 own = [batch.column(i).slice(a, b - a).take(pa.array(owner)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(shift.astype(np.int32)), pa.array(tk.spans(tk.sums(data, False), at, at + length).view(np.int64))], names=["anchor", "span", "at", "window"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(shift.astype(np.int32)), pa.array(tk.spans(tk.Sums(data, False), at, at + length).view(np.int64))], names=["anchor", "span", "at", "window"])
 
     return windows
 

@@ -1,8 +1,10 @@
 """Array kernels over the bytes of many texts at once.
 
 A batch of texts is one byte buffer with offsets (as Arrow stores it). Words, lines and windows are found and
-hashed with NumPy over that buffer, so no Python loop runs per word. Hashes are 64 bits; equal strings have
-equal hashes in every process, and different ones collide with a chance of about 2**-64 a pair.
+hashed with NumPy over that buffer, so no Python loop runs per word. Hashes are 64 bits and equal strings have equal
+hashes in every process. Strings of up to eight bytes of one length never collide. Longer ones are sums of mixed
+eight-byte grams times powers, whose mixing leaves no linear structure to cancel out (as bytes times powers would for
+Thue-Morse strings); different ones are taken to collide with a chance of about 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ import pyarrow as pa
 U = np.uint64
 CHUNK = 1 << 20
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks of the first 0 to 8 bytes of a little-endian gram.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 _STEP = U(0x9E3779B97F4A7C15 | 1)
 _BACK = U(pow(int(_STEP), -1, 1 << 64))
 _COMBINE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
@@ -96,25 +99,33 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def sums(data: np.ndarray, lower: bool) -> np.ndarray:
-    """Prefix sums of byte values times powers; with ``spans`` they give the hash of any substring."""
-    up, _ = powers(len(data))
-    out = np.empty(len(data) + 1, U)
-    out[0] = 0
-    np.cumsum((_LOWER if lower else _BYTE)[data] * up[: len(data)], out=out[1:])
-    return out
+class Sums:
+    """The eight-byte grams of a buffer and prefix sums of mixed ones times powers; ``spans`` hashes substrings with them."""
 
+    def __init__(self, data: np.ndarray, lower: bool):
+        n = len(data)
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n] = _LOWER[data] if lower else data
+        self.grams = np.ndarray(n + 1, "<u8", padded, 0, (1,)).copy()
+        up, self.back = powers(n)
+        self.prefix = np.empty(n + 1, U)
+        self.prefix[0] = 0
+        np.cumsum(mix(self.grams[:n]) * up[:n], out=self.prefix[1:])
 
-def spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+
+def spans(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte strings from starts to ends."""
-    _, back = powers(len(prefix) - 1)
-    return mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(U) * _COMBINE[0])
+    size = ends - starts
+    last = np.maximum(ends - 7, starts)
+    long = (sums.prefix[last] - sums.prefix[starts]) * sums.back[starts]
+    short = sums.grams[starts] & _MASK[np.minimum(size, 8)]
+    return mix(np.where(size > 8, long, short) + size.astype(U) * _COMBINE[0])
 
 
 def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, alphabet: np.ndarray = NOT_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, start, end) of each word, in order."""
     starts, ends, text = runs(alphabet[data], offs)
-    return spans(sums(data, lower), starts, ends), text, starts, ends
+    return spans(Sums(data, lower), starts, ends), text, starts, ends
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
