@@ -8,28 +8,28 @@ without its own tokens: else a trusted text would find its rarest bigrams in the
 background, and the score would say which rows were trusted. A document's score is the mean over its tokens of its
 loss under the target model less that under the background model: the lower, the more like the target.
 
-How counts are gathered. The texts are taken in chunks of about ``chunk_bytes``; a chunk numbers its distinct words
-and bigrams, and keeps what each of its texts has of them. The 64-bit hashes of these n-grams are dealt into buckets;
-a chunk sends each bucket one packed row of the hashes that fall in it, with their counts in this chunk. A bucket adds
-up the chunks' counts and sends each of them the totals of its own n-grams, in the order in which it asked. So each
-distinct n-gram of a chunk crosses the network once as eight bytes and comes back as its totals, which pack well; a
-word that all texts share is asked for once per chunk. The number of buckets grows with the corpus; a bucket holds
-about ``bucket_grams`` n-grams. (Packing pays while a chunk has many n-grams for each bucket: for tens of terabytes
-both parameters should be 16 times their defaults, and a task then holds a few hundred megabytes.) Only the corpus' numbers of tokens, words and n-grams come to the driver.
+How counts are gathered. The texts are taken in chunks of about ``chunk_bytes``. N-grams are hashed; a hash is dealt
+into a bucket, and its other 40 bits name the n-gram there. A chunk sends each bucket one packed row of the distinct
+n-grams that fall in it, ascending, with their counts in this chunk. A bucket adds up the chunks' counts and sends
+each of them the totals of its own n-grams, in the order in which it asked. So each distinct n-gram of a chunk crosses
+the network once, in three to four bytes, and comes back as its totals, which pack well; a word that all texts share is
+asked for once per chunk. The number of buckets grows with the corpus; a bucket holds about ``bucket_grams`` n-grams.
+(Packing pays while a chunk has many n-grams for each bucket: for tens of terabytes both parameters should be 16 times
+their defaults, and a task then holds a few hundred megabytes.) Only numbers of tokens and words come to the driver.
 
 Defined results: a null or empty text, or one without words, has 0 tokens, losses and score null; a null doc_id is
 kept and is no target; repeated rows each give a row; an empty table gives no rows; without any other target row, or
 without any other background row, both models are the one there is and the score is 0. Other columns of the input are
-ignored. N-grams of equal hashes are counted as one.
+ignored. N-grams of equal hashes are counted as one (about one in 2**40 / bucket_grams, a millionth).
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,27 +39,36 @@ from tidelog.llm.cluster import documents, release, saved, ship, table, text_of
 #: Weight of the unigram estimate, in tokens; and what is added to each unigram count.
 PRIOR, ADDED = 100.0, 0.05
 CHUNK_BYTES, BUCKET_GRAMS = 8 << 20, 1 << 20
+#: Bits that name an n-gram in its bucket.
+NAME_BITS = 40
 #: The word before the first of a text.
 START = tk.U(0x5851F42D4C957F2D)
 CHUNKS = "chunk long, bucket int, n long, data binary"
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def _deflated(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each number: first all lowest ones, and so on, which packs well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
 
-def _inflated(data: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
-    data, at, out = zlib.decompress(data), 0, []
-    for kind, n in kinds:
-        out.append(np.frombuffer(data, kind, n, at))
-        at += out[-1].nbytes
+def _packed(*columns: tuple[np.ndarray, int]) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(b"".join(_planes(v, size) for v, size in columns))
+
+
+def _unpacked(data: bytes, n: int, *sizes: int) -> list[np.ndarray]:
+    flat, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8) if n else np.zeros(0, np.uint8), 0, []
+    for size in sizes:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :size] = flat[at : at + n * size].reshape(size, n).T
+        out.append(wide.view("<u8").ravel().astype(np.int64))
+        at += n * size
     return out
 
 
 def n_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, word, bigram with the word before) of each token: its text's row, and hashes."""
-    text, word, pair = [], [], []
+    text, word, pair = [np.zeros(0, np.int64)], [np.zeros(0, tk.U)], [np.zeros(0, tk.U)]
     for a, _, data, offs in tk.pieces(column):
         hashes, owner, _, _ = tk.words(data, offs)
         before = np.full(len(hashes), START)
@@ -67,45 +76,47 @@ def n_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text.append(owner + a)
         word.append(hashes)
         pair.append(tk.mix(before * tk.U(0x9E3779B97F4A7C15) + hashes ^ tk.U(1 << 63)))
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return join(text, np.int64), join(word, tk.U), join(pair, tk.U)
+    return np.concatenate(text), np.concatenate(word), np.concatenate(pair)
+
+
+class Chunk:
+    """The n-grams of some texts (doc_id, text, trusted), numbered by bucket and name."""
+
+    def __init__(self, texts: pa.Table, buckets: int):
+        self.n, self.trusted = texts.num_rows, texts.column(2).to_numpy().astype(bool)
+        self.text, word, pair = n_grams(texts.column(1))
+        self.size = np.bincount(self.text, minlength=self.n)
+        self.some = np.flatnonzero(self.size)  # their starts are counted as words before the first one
+        hashes = tk.mix(np.concatenate([word, np.full(len(self.some), START), pair]))
+        codes = (hashes >> tk.U(NAME_BITS)) % tk.U(buckets) << tk.U(NAME_BITS) | hashes & tk.U((1 << NAME_BITS) - 1)
+        self.codes, self.at = np.unique(codes, return_inverse=True)
+        self.word, self.start, self.pair = np.split(self.at, [len(word), len(word) + len(self.some)])
+
+    def asked(self, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+        """(bucket, n-grams, their names, counts in all and in trusted texts, and which are words) of each bucket."""
+        n = len(self.codes)
+        raw = np.bincount(self.at, minlength=n)
+        good = np.bincount(self.at, np.concatenate([self.trusted[self.text], self.trusted[self.some], self.trusted[self.text]]), n)
+        word = np.zeros(n, bool)
+        word[self.word] = word[self.start] = True
+        names = self.codes & tk.U((1 << NAME_BITS) - 1)
+        ends = np.searchsorted(self.codes, np.arange(buckets + 1, dtype=tk.U) << tk.U(NAME_BITS))
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            part = slice(ends[b], ends[b + 1])
+            yield b, int(ends[b + 1] - ends[b]), _packed((np.diff(names[part], prepend=tk.U(0)), 5), (raw[part], 4), (good[part], 4), (word[part], 1))
 
 
 def _scan(buckets: int, chunk_bytes: int):
-    """Rows of CHUNKS: of bucket -1 what a chunk needs to score its texts, of -2 its trusted tokens; of each other the n-grams and counts."""
-
-    def chunk(number: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches).combine_chunks()
-        n, null = whole.num_rows, np.asarray(whole.column(0).is_null())
-        ids = whole.column(0).fill_null(0).to_numpy()
-        trusted = whole.column(2).to_numpy().astype(bool)
-        text, word, pair = n_grams(whole.column(1))
-        size = np.bincount(text, minlength=n)
-        some = np.flatnonzero(size)  # their starts are counted as words before the first one
-        words, at_word = np.unique(np.concatenate([word, np.full(len(some), START)]), return_inverse=True)
-        pairs, at_pair = np.unique(pair, return_inverse=True)
-        keys = np.concatenate([words, pairs])
-        at = np.concatenate([at_word, at_pair + len(words)])
-        own = np.concatenate([trusted[text], trusted[some], trusted[text]])
-        single = np.arange(len(keys)) < len(words)
-        where = (tk.mix(keys) % tk.U(buckets)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        raw, good = np.bincount(rank[at], minlength=len(keys)), np.bincount(rank[at], own, len(keys))
-        keys, single, ends = keys[order], single[order], np.searchsorted(where[order], np.arange(buckets + 1))
-        start = int(rank[at_word[-1]]) if len(some) else 0
-        header = np.array([n, len(word), len(keys), start], np.int64).tobytes()
-        place = rank[at_word[: len(word)]], rank[at_pair + len(words)]
-        rows = [
-            (number, -1, len(word), header + _deflated(ids, null.astype("u1"), trusted.astype("u1"), size.astype("u4"), *(p.astype("u4") for p in place))),
-            (number, -2, int(trusted[text].sum()), b""),
-        ]
-        for b in np.flatnonzero(np.diff(ends)).tolist():
-            part = slice(ends[b], ends[b + 1])
-            rows.append((number, b, int(ends[b + 1] - ends[b]), keys[part].tobytes() + _deflated(raw[part].astype("u4"), good[part].astype("u4"), single[part].astype("u1"))))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "bucket", "n", "data"])
+    """Rows of CHUNKS: of bucket -1 a chunk's texts, with the number of its tokens, of -2 of its trusted ones; of each other what it asks there."""
+
+    def chunk(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        texts = pa.Table.from_batches(batches).select([0, 1, 2]).combine_chunks()
+        own, sink = Chunk(texts, buckets), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(texts)
+        rows = [(-1, len(own.text), sink.getvalue().to_pybytes()), (-2, int(own.trusted[own.text].sum()), b""), *own.asked(buckets)]
+        kinds = (pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([number] * len(rows)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["chunk", "bucket", "n", "data"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -117,27 +128,26 @@ def _scan(buckets: int, chunk_bytes: int):
                 held.append(batch.slice(a, b - a))
                 size += len(data)
                 if size >= chunk_bytes:
-                    yield from chunk(number, held)
+                    yield chunk(number, held)
                     held, size = [], 0
         if held:
-            yield from chunk(number, held)
+            yield chunk(number, held)
 
     return scan
 
 
 def _total(asked: pa.Table) -> pa.Table:
     """Of one bucket: to each chunk the totals (all, trusted) of its n-grams; and to none the number of distinct words."""
-    sizes, parts = asked.column("n").to_pylist(), []
-    for n, data in zip(sizes, asked.column("data"), strict=True):
-        data = data.as_py()
-        parts.append((np.frombuffer(data, tk.U, n), *_inflated(data[8 * n :], ("u4", n), ("u4", n), ("u1", n))))
-    own, raw, good, single = (np.concatenate(p) for p in zip(*parts, strict=True))
-    keys, at = np.unique(own, return_inverse=True)
-    raw, good = np.bincount(at, raw, len(keys)).astype(np.int64), np.bincount(at, good, len(keys)).astype(np.int64)
-    words = np.zeros(len(keys), bool)
-    words[at] = single == 1
+    sizes = asked.column("n").to_pylist()
+    parts = [_unpacked(data.as_py(), n, 5, 4, 4, 1) for n, data in zip(sizes, asked.column("data"), strict=True)]
+    names = np.concatenate([np.cumsum(p[0]) for p in parts])
+    raw, good, word = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+    distinct, at = np.unique(names, return_inverse=True)
+    raw, good = np.bincount(at, raw, len(distinct)).astype(np.int64), np.bincount(at, good, len(distinct)).astype(np.int64)
+    words = np.zeros(len(distinct), bool)
+    words[at[word == 1]] = True
     ends = np.cumsum([0, *sizes]).tolist()
-    data = [_deflated(raw[at[a:b]], good[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    data = [_packed((raw[at[a:b]], 8), (good[at[a:b]], 8)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     columns = [[*asked.column("chunk").to_pylist(), None], [asked.column("bucket")[0].as_py()] * (len(sizes) + 1), [*sizes, int(words.sum())], [*data, b""]]
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "bucket", "n", "data"])
@@ -168,24 +178,23 @@ def _own(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return counts[where]
 
 
-def _scorer(totals: tuple[int, int], words: int, prior: float, added: float):
+def _scorer(buckets: int, totals: tuple[int, int], words: int, prior: float, added: float):
     def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        data = texts.column("data")[0].as_py()
-        n, tokens, n_keys, start = np.frombuffer(data, np.int64, 4).tolist()
-        ids, null, trusted, size, at_word, at_pair = _inflated(data[32:], ("i8", n), ("u1", n), ("u1", n), ("u4", n), ("u4", tokens), ("u4", tokens))
+        texts = pa.ipc.open_stream(texts.column("data")[0].as_py()).read_all().combine_chunks()
+        own = Chunk(texts, buckets)
         counts = counts.sort_by("bucket")
-        parts = [_inflated(d.as_py(), ("i8", k), ("i8", k)) for k, d in zip(counts.column("n").to_pylist(), counts.column("data"), strict=True)]
+        parts = [_unpacked(d.as_py(), n, 8, 8) for n, d in zip(counts.column("n").to_pylist(), counts.column("data"), strict=True)]
         raw, good = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in (0, 1))
-        text, size = np.repeat(np.arange(n), size), size.astype(np.int64)
-        own_word, own_pair = _own(text, at_word, n_keys), _own(text, at_pair, n_keys)
-        first = np.ones(tokens, bool)
+        n, text = len(own.codes), own.text
+        own_word, own_pair = _own(text, own.word, n), _own(text, own.pair, n)
+        first = np.ones(len(text), bool)
         first[1:] = text[1:] != text[:-1]
-        at = np.stack([np.where(first, start, np.roll(at_word, 1)), at_word, at_pair])
-        own = np.stack([np.where(first, 1, np.roll(own_word, 1)), own_word, own_pair])
-        found = losses(raw[at], good[at], own, trusted[text].astype(bool), size[text], totals, words, prior, added)
-        target, background = (np.round(np.bincount(text, x, n) / np.maximum(size, 1), 9) for x in found)
-        some = lambda x: pa.array(x, pa.float64(), mask=size == 0)
-        columns = [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(size), some(target), some(background), some(np.round(target - background, 9))]
+        at = np.stack([np.where(first, own.start[0] if len(text) else 0, np.roll(own.word, 1)), own.word, own.pair])
+        mine = np.stack([np.where(first, 1, np.roll(own_word, 1)), own_word, own_pair])
+        found = losses(raw[at], good[at], mine, own.trusted[text], own.size[text], totals, words, prior, added)
+        target, background = (np.round(np.bincount(text, x, own.n) / np.maximum(own.size, 1), 9) for x in found)
+        some = lambda x: pa.array(x, pa.float64(), mask=own.size == 0)
+        columns = [texts.column(0), pa.array(own.size), some(target), some(background), some(np.round(target - background, 9))]
         return pa.Table.from_arrays(columns, names=[f.split()[0] for f in SCORED.split(", ")])
 
     return score
@@ -205,7 +214,7 @@ def lm_scoring(docs: DataFrame, labels: DataFrame, chunk_bytes: int = CHUNK_BYTE
     words = totals.where("chunk is null").agg(F.sum("n")).first()[0] or 0
     tokens, trusted = chunks.agg(F.sum(F.when(F.col("bucket") == -1, F.col("n"))), F.sum(F.when(F.col("bucket") == -2, F.col("n")))).first()
     texts, counts = chunks.where("bucket = -1").groupBy("chunk"), totals.where("chunk is not null").groupBy("chunk")
-    return texts.cogroup(counts).applyInArrow(_scorer((tokens or 0, trusted or 0), words, prior, added), SCORED)
+    return texts.cogroup(counts).applyInArrow(_scorer(buckets, (tokens or 0, trusted or 0), words, prior, added), SCORED)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
