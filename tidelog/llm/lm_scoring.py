@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkit as tk
-from tidelog.llm.cluster import documents, release, saved, ship, table, text_of
+from tidelog.llm.cluster import discard, documents, release, saved, ship, table, text_of
 
 #: Weight of the unigram estimate, in tokens; and what is added to each unigram count.
 PRIOR, ADDED = 100.0, 0.05
-CHUNK_BYTES, BUCKET_GRAMS = 8 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_GRAMS = 4 << 20, 1 << 20
 #: Bits that name an n-gram in its bucket.
 NAME_BITS = 40
 #: The word before the first of a text.
@@ -106,19 +106,16 @@ class Chunk:
             yield b, int(ends[b + 1] - ends[b]), _packed((np.diff(names[part], prepend=tk.U(0)), 5), (raw[part], 4), (good[part], 4), (word[part], 1))
 
 
-def _scan(buckets: int, chunk_bytes: int):
-    """Rows of CHUNKS: of bucket -1 a chunk's texts, with the number of its tokens, of -2 of its trusted ones; of each other what it asks there."""
+def _gather(chunk_bytes: int):
+    """Rows (chunk, data): the texts as packed tables of about chunk_bytes."""
 
-    def chunk(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        texts = pa.Table.from_batches(batches).select([0, 1, 2]).combine_chunks()
-        own, sink = Chunk(texts, buckets), pa.BufferOutputStream()
+    def packed(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        texts, sink = pa.Table.from_batches(batches).select([0, 1, 2]).combine_chunks(), pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(texts)
-        rows = [(-1, len(own.text), sink.getvalue().to_pybytes()), (-2, int(own.trusted[own.text].sum()), b""), *own.asked(buckets)]
-        kinds = (pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([number] * len(rows)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["chunk", "bucket", "n", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "data"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = number = 0
         for batch in batches:
@@ -128,29 +125,48 @@ def _scan(buckets: int, chunk_bytes: int):
                 held.append(batch.slice(a, b - a))
                 size += len(data)
                 if size >= chunk_bytes:
-                    yield chunk(number, held)
+                    yield packed(number, held)
                     held, size = [], 0
         if held:
-            yield chunk(number, held)
+            yield packed(number, held)
 
-    return scan
+    return gather
+
+
+def _texts(data: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ([],) * 4, kinds, strict=True)], names=["chunk", "bucket", "n", "data"])
+
+
+def _ask(buckets: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _rows([(number, *row) for row in Chunk(_texts(data), buckets).asked(buckets)]).to_batches()
+
+    return ask
 
 
 def _total(asked: pa.Table) -> pa.Table:
-    """Of one bucket: to each chunk the totals (all, trusted) of its n-grams; and to none the number of distinct words."""
+    """Of one bucket: to each chunk the totals (all, trusted) of its n-grams; and to none the numbers of its words, tokens and trusted tokens."""
     sizes = asked.column("n").to_pylist()
     parts = [_unpacked(data.as_py(), n, 5, 4, 4, 1) for n, data in zip(sizes, asked.column("data"), strict=True)]
     names = np.concatenate([np.cumsum(p[0]) for p in parts])
     raw, good, word = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+    del parts
     distinct, at = np.unique(names, return_inverse=True)
     raw, good = np.bincount(at, raw, len(distinct)).astype(np.int64), np.bincount(at, good, len(distinct)).astype(np.int64)
     words = np.zeros(len(distinct), bool)
     words[at[word == 1]] = True
+    tokens = words & (distinct != int(tk.mix(np.array([START]))[0]) & ((1 << NAME_BITS) - 1))  # starts are no tokens
     ends = np.cumsum([0, *sizes]).tolist()
-    data = [_packed((raw[at[a:b]], 8), (good[at[a:b]], 8)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    columns = [[*asked.column("chunk").to_pylist(), None], [asked.column("bucket")[0].as_py()] * (len(sizes) + 1), [*sizes, int(words.sum())], [*data, b""]]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "bucket", "n", "data"])
+    bucket = asked.column("bucket")[0].as_py()
+    rows = [(c, bucket, n, _packed((raw[at[a:b]], 8), (good[at[a:b]], 8))) for c, n, a, b in zip(asked.column("chunk").to_pylist(), sizes, ends[:-1], ends[1:], strict=True)]
+    return _rows([*rows, (None, -1, int(words.sum()), b""), (None, -2, int(raw[tokens].sum()), b""), (None, -3, int(good[tokens].sum()), b"")])
 
 
 def losses(raw: np.ndarray, good: np.ndarray, own: np.ndarray, trusted: np.ndarray, tokens: np.ndarray, totals: tuple[int, int], words: int, prior: float = PRIOR, added: float = ADDED) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +196,7 @@ def _own(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 def _scorer(buckets: int, totals: tuple[int, int], words: int, prior: float, added: float):
     def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        texts = pa.ipc.open_stream(texts.column("data")[0].as_py()).read_all().combine_chunks()
+        texts = _texts(texts.column("data")[0])
         own = Chunk(texts, buckets)
         counts = counts.sort_by("bucket")
         parts = [_unpacked(d.as_py(), n, 8, 8) for n, d in zip(counts.column("n").to_pylist(), counts.column("data"), strict=True)]
@@ -207,14 +223,16 @@ def lm_scoring(docs: DataFrame, labels: DataFrame, chunk_bytes: int = CHUNK_BYTE
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // (3 * bucket_grams)))  # about one n-gram for three bytes of text
+    ids = saved(ids)  # the planner knows the size: it is broadcast if it is small
     marked = own.join(ids, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("trusted"), F.monotonically_increasing_id().alias("number"))
-    chunks = saved(marked.mapInArrow(_scan(buckets, chunk_bytes), CHUNKS))
-    totals = saved(chunks.where("bucket >= 0").groupBy("bucket").applyInArrow(_total, CHUNKS))
+    chunks = saved(marked.mapInArrow(_gather(chunk_bytes), "chunk long, data binary"))
+    discard(ids)
+    release(docs.sparkSession)
+    totals = saved(chunks.mapInArrow(_ask(buckets), CHUNKS).groupBy("bucket").applyInArrow(_total, CHUNKS))
     release(docs.sparkSession)
-    words = totals.where("chunk is null").agg(F.sum("n")).first()[0] or 0
-    tokens, trusted = chunks.agg(F.sum(F.when(F.col("bucket") == -1, F.col("n"))), F.sum(F.when(F.col("bucket") == -2, F.col("n")))).first()
-    texts, counts = chunks.where("bucket = -1").groupBy("chunk"), totals.where("chunk is not null").groupBy("chunk")
-    return texts.cogroup(counts).applyInArrow(_scorer(buckets, (tokens or 0, trusted or 0), words, prior, added), SCORED)
+    found = {r["bucket"]: r["n"] for r in totals.where("chunk is null").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    score = _scorer(buckets, (found.get(-2, 0), found.get(-3, 0)), found.get(-1, 0), prior, added)
+    return chunks.groupBy("chunk").cogroup(totals.where("chunk is not null").groupBy("chunk")).applyInArrow(score, SCORED)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
