@@ -46,14 +46,15 @@ def test_components(spark):
     assert linking.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_groups_of_lists_lose_no_link(spark):
+@pytest.mark.parametrize("turns", [0, 2, 12])
+def test_groups_of_lists_lose_no_link(spark, turns):
     """Links are pairs at most 2 apart: large lists of several groups, and pairs that only the second step can find."""
     random.seed(2)
     lists = {k: random.sample(range(400), random.choice([2, 3, 9, 60])) for k in range(60)}
     posts = spark.createDataFrame([(k, n, n % 7) for k, own in lists.items() for n in own], "key long, node long, weight int")
     nodes = posts.select("node").distinct().withColumn("at", F.col("node"))
     near = lambda x, y: F.abs(F.col(f"{x}_at") - F.col(f"{y}_at")) <= 9
-    got = {r["node"]: r["label"] for r in linking.groups(posts, nodes, near, lambda pairs: pairs.where("abs(a - b) <= 2")).collect()}
+    got = {r["node"]: r["label"] for r in linking.groups(linking.lists_of(posts), nodes, near, lambda pairs: pairs.where("abs(a - b) <= 2"), turns).collect()}
     links = [(a, b) for own in lists.values() for a in own for b in own if a < b <= a + 2]
     tops = grouped({n for own in lists.values() for n in own}, links)
     for a in tops:

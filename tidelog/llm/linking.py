@@ -1,10 +1,14 @@
 """Connected groups from candidate lists, without all pairs of a list.
 
 A list is the nodes posted under one key. Large lists are mostly members of one group, so the first step tries one
-pair per node, with the most central member of its lists, and joins the confirmed pairs into groups. The second step
-enumerates, in the lists that still hold members of several groups, the pairs of members of different groups that a
-sound bound on the nodes' features does not rule out. A pair inside one group needs no test, so no link between
-groups is lost, and a list of n members of one group costs n pairs.
+pair per node, with the most central member of its lists, and joins the confirmed pairs into groups. Further turns
+work on the lists that still hold members of several groups: each of their nodes tries one member, another one each
+turn, of its lists' largest other group, and one of a group that changes with the turn; confirmed pairs join groups.
+So a node that is like a share p of a large group stays outside for t turns with a chance of about (1 - p)^t, and a
+turn costs at most two pairs per node. Turns end when few pairs are confirmed. What is left then is nodes with almost
+no link into their lists' groups; the last step enumerates, so that no link between groups is lost, the pairs of
+members of different groups that a sound bound on the nodes' features does not rule out. A pair inside one group needs
+no test: a list of n members of one group costs n pairs.
 """
 
 from __future__ import annotations
@@ -14,10 +18,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.cluster import cut, release, saved
+from tidelog.llm.cluster import discard, release, saved
 
 Verify = Callable[[DataFrame], DataFrame]
 Possible = Callable[[str, str], Column]
+#: At most so many turns; and the share of a turn's pairs that must be links for another one.
+TURNS, YIELD = 12, 0.02
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds is logarithmic in practice, and each round is joins and partial minima over pairs. A hub's
     neighbours are never gathered in one row or task.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    edges = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = cut(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u > v").distinct())
+        old, edges = edges, saved(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u > v").distinct())
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
@@ -43,51 +50,127 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _lists(postings: DataFrame) -> DataFrame:
+def lists_of(postings: DataFrame) -> DataFrame:
     """(key, node, pivot) of the lists of two or more members; the pivot of a long list is the member of largest weight.
 
-    One aggregate keeps a list's largest member and the least of each of four hash classes. That is all of a pair and
-    of most short lists, which need no second pass; the postings are read again for the keys of the others only.
+    One aggregate tells how long a list is and its least and largest members, which are all of a list of two; the
+    postings are read again for the keys of longer lists only.
     """
-    of = F.pmod(F.xxhash64("node"), F.lit(4))
-    some = [F.min(F.when(of == i, F.col("node"))).alias(f"m{i}") for i in range(4)]
-    keys = postings.groupBy("key").agg(F.count("*").alias("n"), F.max("node").alias("m4"), *some).where("n > 1")
-    keys = saved(keys.select("key", "n", F.array_distinct(F.array_compact(F.array(*(f"m{i}" for i in range(5))))).alias("members")))
+    keys = saved(postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"))
+    release(postings.sparkSession)
+    short = keys.where("n = 2").select("key", F.explode(F.array("lo", "hi")).alias("node"), F.col("lo").alias("pivot"))
+    long = saved(postings.join(keys.where("n > 2").select("key"), "key"))
     release(postings.sparkSession)
-    short = keys.where(F.size("members") == F.col("n")).select("key", F.explode("members").alias("node"), F.array_min("members").alias("pivot"))
-    others = saved(keys.where(F.size("members") < F.col("n")).select("key"))
-    long = saved(postings.join(others, "key"))
     central = long.groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("pivot"))).alias("top")).select("key", "top.pivot")
-    return short.unionByName(long.select("key", "node").join(central, "key"))
+    made = saved(short.unionByName(long.select("key", "node").join(central, "key")))
+    discard(keys, long)
+    return made
+
+
+class _Linker:
+    """The state of ``groups``: nodes' lists, current labels and the pairs tried so far."""
+
+    def __init__(self, lists: DataFrame, features: DataFrame, possible: Possible, verify: Verify):
+        self.lists, self.features, self.possible, self.verify = lists, features, possible, verify
+        self.names = [c for c in features.columns if c != "node"]
+        self.labels: DataFrame | None = None  # (node, label) of nodes in groups of two or more
+        self.tried: list[DataFrame] = []
+        self.spark = lists.sparkSession
+
+    def side(self, x: str) -> DataFrame:
+        return self.features.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in self.names))
+
+    def confirmed(self, pairs: DataFrame) -> tuple[DataFrame, int, int]:
+        """The links (a, b) among pairs (a, b), a < b; how many pairs were tried, and how many of them are links."""
+        pairs = saved(pairs)
+        linked = saved(self.verify(pairs).select("a", "b"))
+        self.tried.append(pairs)
+        release(self.spark)
+        return linked, pairs.count(), linked.count()
+
+    def new(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs of x and y that are possible links and were not tried."""
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        for old in self.tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        return pairs.join(self.side("a"), "a").join(self.side("b"), "b").where(self.possible("a", "b")).select("a", "b")
+
+    def labelled(self, nodes: DataFrame, node: str, label: str) -> DataFrame:
+        if self.labels is None:
+            return nodes.withColumn(label, F.col(node))
+        found = self.labels.select(F.col("node").alias(node), F.col("label").alias("_label"))
+        return nodes.join(found, node, "left").withColumn(label, F.coalesce("_label", F.col(node))).drop("_label")
+
+    def join(self, linked: DataFrame) -> None:
+        """Take up confirmed links: groups that they join get the smallest of their labels."""
+        edges = self.labelled(self.labelled(linked, "a", "u"), "b", "v").where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        moved = components(edges).select(F.col("node").alias("old"), F.col("label").alias("moved"))
+        if self.labels is None:
+            now = moved.select(F.col("old").alias("node"), F.col("moved").alias("label"))
+        else:
+            own = self.labels.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("moved", "label").alias("label"))
+            known = self.labels.select("node")
+            now = own.unionByName(moved.select(F.col("old").alias("node"), F.col("moved").alias("label")).join(known, "node", "left_anti"))
+        before, self.labels = self.labels, saved(now)
+        if before is not None:
+            discard(before)
+        release(self.spark)
 
+    def mixed(self) -> DataFrame:
+        """(key, node, label) of the lists that hold members of several groups."""
+        named = self.labelled(self.lists.select("key", "node"), "node", "label")
+        keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        return named.join(keys, "key")
 
-def groups(postings: DataFrame, features: DataFrame, possible: Possible, verify: Verify) -> DataFrame:
+    def attempts(self, named: DataFrame, turn: int) -> DataFrame:
+        """(x, y): for each node a member of its lists' largest other group, and one of another group."""
+        own = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("rep"))
+        most = F.max(F.struct("n", F.col("label").alias("l"), F.col("rep.node").alias("y"))).alias("most")
+        some = F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), F.col("label").alias("l"), F.col("rep.node").alias("y"))).alias("some")
+        tops = own.groupBy("key").agg(most, some)
+        each = named.join(tops, "key").select(F.col("node").alias("x"), "label", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "most.l", "most.y"), F.struct(F.lit(1).alias("kind"), "some.l", "some.y"))).alias("to"))
+        each = each.where("label <> to.l").groupBy("x", "to.kind", "to.y").agg(F.count("*").alias("n"))
+        return each.groupBy("x", "kind").agg(F.max_by("y", F.struct("n", "y")).alias("y")).select("x", "y")
+
+    def rest(self, named: DataFrame) -> DataFrame:
+        """Pairs (x, y) of members of different groups, in lists where both are, that may be links."""
+        most = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+        named = named.join(most, "key")
+        left = named.where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("lx")).join(self.side("x"), "x")
+        right = named.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("main")).join(self.side("y"), "y")
+        both = (left["key"] == right["key"]) & F.expr("lx <> ly and (main or x < y)") & self.possible("x", "y")
+        return left.join(right, both).select("x", "y")
+
+
+def groups(lists: DataFrame, features: DataFrame, possible: Possible, verify: Verify, turns: int = TURNS) -> DataFrame:
     """(node, label) of the nodes in groups of two or more.
 
-    postings: distinct (key, node, weight) rows; a list's member of largest weight is taken for its most central one.
-    features: a row per node. possible: of two prefixes of feature columns, false only if such nodes cannot be a link.
-    verify: gets distinct candidate pairs (a, b), a < b, and returns those that are links. The groups are those of all
-    links between nodes that share a key.
+    lists: (key, node, pivot) as ``lists_of`` makes them, a saved table; it is discarded. features: a row per node.
+    possible: of two prefixes of feature columns, false only if such nodes cannot be a link. verify: gets distinct
+    candidate pairs (a, b), a < b, and returns those that are links. The groups are those of all links between nodes
+    that share a key, whatever the number of turns is.
     """
-    lists = cut(_lists(postings))
-    release(postings.sparkSession)
-    names = [c for c in features.columns if c != "node"]
-    side = lambda x: features.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in names))
+    work = _Linker(lists, features, possible, verify)
     stars = lists.where("node <> pivot").groupBy("pivot", "node").agg(F.count("*").alias("n"))
-    stars = stars.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-    first = cut(stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
-    linked = cut(verify(first.join(side("a"), "a").join(side("b"), "b").where(possible("a", "b")).select("a", "b")).select("a", "b"))
-    labels = cut(components(linked))
-    release(postings.sparkSession)
-    named = lists.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    named = cut(named.join(mixed, "key"))
-    most = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-    named = named.join(most, "key")
-    left = named.where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("lx")).join(side("x"), "x")
-    right = named.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("main")).join(side("y"), "y")
-    both = (left["key"] == right["key"]) & F.expr("lx <> ly and (main or x < y)") & possible("x", "y")
-    pairs = left.join(right, both).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    release(postings.sparkSession)
-    rest = verify(cut(pairs.join(first, ["a", "b"], "left_anti"))).select("a", "b")
-    return components(linked.unionByName(rest))
+    stars = stars.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("y")).select(F.col("node").alias("x"), "y")
+    linked, tried, found = work.confirmed(work.new(stars))
+    work.join(linked)
+    discard(linked)
+    named = saved(work.mixed())
+    for turn in range(turns):
+        if named.isEmpty():
+            break
+        linked, tried, found = work.confirmed(work.new(work.attempts(named, turn)))
+        if found:
+            work.join(linked)
+            old, named = named, saved(work.mixed())
+            discard(old)
+        discard(linked)
+        if found <= YIELD * tried:
+            break
+    linked, tried, found = work.confirmed(work.new(work.rest(named)))
+    if found:
+        work.join(linked)
+    discard(lists, named, linked, *work.tried)
+    release(work.spark)
+    return work.labels

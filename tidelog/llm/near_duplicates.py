@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import textkit as tk
-from tidelog.llm.cluster import cut, documents, ship, text_of
-from tidelog.llm.linking import groups
+from tidelog.llm.cluster import discard, documents, release, saved, ship, text_of
+from tidelog.llm.linking import groups, lists_of
 
 COORDINATES, MATCHES = 64, 36
 #: Longs of a set's bitmap.
@@ -125,14 +125,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     """A row per document: size of its set, its component and whether it is the document kept of it."""
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))
-    rows = cut(signed(texts, shingle))
+    rows = saved(signed(texts, shingle))
     one_of = F.min(F.struct("doc_id", "hash")).alias("pick")  # the document whose text is read again
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), one_of, F.first("signature").alias("signature"))
-    nodes = cut(nodes)
-    posts = cut(postings(nodes))
+    nodes = saved(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), one_of, F.first("signature").alias("signature")))
+    release(docs.sparkSession)
+    posts = saved(postings(nodes))
+    release(docs.sparkSession)
     active = nodes.join(posts.select("node").distinct(), "node", "left_semi").select(F.col("pick.doc_id").alias("id"), F.col("pick.hash").alias("h"))
     read = texts.join(active, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left_semi")
-    sets = cut(_full_sets(read.select("text"), shingle))
+    sets = saved(_full_sets(read.select("text"), shingle))
+    lists = lists_of(posts)
+    discard(posts)
     signs = nodes.select("node", "signature")
 
     def possible(x: str, y: str) -> Column:
@@ -148,7 +151,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
         return near.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
-    labels = groups(posts, sets.drop("set"), possible, verify)
+    labels = groups(lists, sets.drop("set"), possible, verify)
+    discard(sets)
     named = nodes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")
