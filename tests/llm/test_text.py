@@ -337,12 +337,14 @@ def test_decontamination(spark):
 # packing
 
 
-def test_ids_are_the_tokenizers(spark):
+def test_ids_are_the_tokenizers(spark, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [t or "" for _, t in some_texts() + ODD] + ["it's  two\n\n lines \r\n x", "日本語   x \x1c\x85", "<|endoftext|> a", "don'T 12ab ½ ¡hola!", "𝒳 ​ ź"]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    monkeypatch.setattr(packing, "REMEMBERED", 5000)  # so that parts are forgotten and encoded again
     for text in texts:
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(packing.encode(text), "<u4").tolist() == ids

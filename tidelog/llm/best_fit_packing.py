@@ -13,7 +13,7 @@ documents of their own; an empty table gives no rows. Other columns of the input
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -28,32 +28,48 @@ from tidelog.llm.cluster import cut, documents, ship, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, round int, group long, bins long, bound long, released boolean"
-#: Texts of other characters go to the tokenizer itself: the two libraries' splitters could class them differently.
+#: Texts with other characters are encoded whole: Unicode tables of two versions could split them differently.
 PLAIN = r"[^\t\n\r\x20-\x7e¡-¬®-ɏ]|<\|"
+#: Parts of texts whose ids a worker remembers.
+REMEMBERED = 500_000
+
+
+class Encoder:
+    """Ids of texts as the tokenizer gives them. A byte-level tokenizer merges within the parts into which its pattern
+    splits a text; parts come again and again, so each is encoded once and remembered."""
+
+    def __init__(self, path: str | None):
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
+        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        # the pattern belongs to the default file
+        self.split = regex.compile(public_tokenizers.PATTERN).findall if path is None else None
+        self.other, self.known = regex.compile(PLAIN), {}
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        if self.split is None or self.other.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = self.split(text)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if new := list(set(parts).difference(self.known)):
+            made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            self.known.update(zip(new, [np.array(m.ids, "<u4").tobytes() for m in made], strict=True))
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 @cache
-def _tools(path: str | None):
-    """The tokenizer; the same vocabulary and merges in the faster library, for the default file only."""
-    import public_tokenizers
-    import regex
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    fast = None
-    if path is None:
-        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
-            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, file)}
-        fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json")), fast, regex.compile(PLAIN)
+def _encoder(path: str | None) -> Encoder:
+    return Encoder(path)
 
 
 def encode(text: str, path: str | None = None) -> bytes:
     """The text's ids, as the tokenizer gives them, as little-endian unsigned 32-bit numbers."""
-    tokenizer, fast, other = _tools(path)
-    if fast is None or other.search(text):
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+    return _encoder(path).encode(text)
 
 
 def tokenised(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None) -> DataFrame:
