@@ -3,9 +3,9 @@
 A list is the nodes posted under one key. Large lists are mostly members of one group, so the first step tries one
 pair per node, with the most central member of its lists, and joins the confirmed pairs into groups. Further turns
 work on the lists that still hold members of several groups: each of their nodes tries one member, another one each
-turn, of its lists' largest other group, and one of a group that changes with the turn; confirmed pairs join groups.
-So a node that is like a share p of a large group stays outside for t turns with a chance of about (1 - p)^t, and a
-turn costs at most two pairs per node. Turns end when few pairs are confirmed. What is left then is nodes with almost
+turn, of its lists' largest other group (``DRAWS`` of them), and one of a group that changes with the turn; confirmed
+pairs join groups. So a node that is like a share p of a large group stays outside for t turns with a chance of about
+(1 - p)^(DRAWS t), and a turn costs at most DRAWS + 1 pairs per node. Turns end when few pairs are confirmed. What is left then is nodes with almost
 no link into their lists' groups; the last step enumerates, so that no link between groups is lost, the pairs of
 members of different groups that a sound bound on the nodes' features does not rule out. A pair inside one group needs
 no test: a list of n members of one group costs n pairs.
@@ -14,6 +14,7 @@ no test: a list of n members of one group costs n pairs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from tidelog.llm.cluster import discard, release, saved
 
 Verify = Callable[[DataFrame], DataFrame]
 Possible = Callable[[str, str], Column]
-#: At most so many turns; and the share of a turn's pairs that must be links for another one.
-TURNS, YIELD = 12, 0.02
+#: At most so many turns; members of the largest group tried in each; the share of a turn's pairs that must be links for another one.
+TURNS, DRAWS, YIELD = 4, 4, 0.05
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -91,8 +92,8 @@ class _Linker:
     def new(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs of x and y that are possible links and were not tried."""
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        for old in self.tried:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        if self.tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, self.tried), ["a", "b"], "left_anti")
         return pairs.join(self.side("a"), "a").join(self.side("b"), "b").where(self.possible("a", "b")).select("a", "b")
 
     def labelled(self, nodes: DataFrame, node: str, label: str) -> DataFrame:
@@ -123,22 +124,27 @@ class _Linker:
         return named.join(keys, "key")
 
     def attempts(self, named: DataFrame, turn: int) -> DataFrame:
-        """(x, y): for each node a member of its lists' largest other group, and one of another group."""
-        own = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("rep"))
-        most = F.max(F.struct("n", F.col("label").alias("l"), F.col("rep.node").alias("y"))).alias("most")
-        some = F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), F.col("label").alias("l"), F.col("rep.node").alias("y"))).alias("some")
+        """(x, y): for each node members of its lists' largest other group, and one of another group."""
+        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)).alias("h"), "node"))["node"].alias(f"y{i}") for i in range(DRAWS)]
+        own = named.groupBy("key", "label").agg(F.count("*").alias("n"), *drawn)
+        most = F.max(F.struct("n", F.col("label").alias("l"), *(f"y{i}" for i in range(DRAWS)))).alias("most")
+        some = F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), F.col("label").alias("l"), F.col("y0").alias("y"))).alias("some")
         tops = own.groupBy("key").agg(most, some)
-        each = named.join(tops, "key").select(F.col("node").alias("x"), "label", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "most.l", "most.y"), F.struct(F.lit(1).alias("kind"), "some.l", "some.y"))).alias("to"))
+        to = [F.struct(F.lit(i).alias("kind"), F.col("most.l").alias("l"), F.col(f"most.y{i}").alias("y")) for i in range(DRAWS)]
+        to.append(F.struct(F.lit(DRAWS).alias("kind"), F.col("some.l").alias("l"), F.col("some.y").alias("y")))
+        each = named.join(tops, "key").select(F.col("node").alias("x"), "label", F.explode(F.array(*to)).alias("to"))
         each = each.where("label <> to.l").groupBy("x", "to.kind", "to.y").agg(F.count("*").alias("n"))
         return each.groupBy("x", "kind").agg(F.max_by("y", F.struct("n", "y")).alias("y")).select("x", "y")
 
     def rest(self, named: DataFrame) -> DataFrame:
-        """Pairs (x, y) of members of different groups, in lists where both are, that may be links."""
+        """Pairs (x, y) of members of different groups that may be links, each from the first list where both are."""
+        keys = named.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a node has few keys
+        side = lambda x: self.side(x).join(keys.select(F.col("node").alias(x), F.col("keys").alias(f"{x}_keys")), x)
         most = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
         named = named.join(most, "key")
-        left = named.where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("lx")).join(self.side("x"), "x")
-        right = named.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("main")).join(self.side("y"), "y")
-        both = (left["key"] == right["key"]) & F.expr("lx <> ly and (main or x < y)") & self.possible("x", "y")
+        left = named.where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("lx")).join(side("x"), "x")
+        right = named.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("main")).join(side("y"), "y")
+        both = (left["key"] == right["key"]) & F.expr("lx <> ly and (main or x < y)") & self.possible("x", "y") & (F.array_min(F.array_intersect("x_keys", "y_keys")) == left["key"])
         return left.join(right, both).select("x", "y")
 
 

@@ -91,19 +91,6 @@ def postings(nodes: DataFrame) -> DataFrame:
     return own.where(F.size("own") >= MATCHES).select("node", weight.alias("weight"), F.explode(first).alias("one")).select("node", "weight", "one.key")
 
 
-def _confirm(percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), tk.U), np.frombuffer(y.as_py(), tk.U)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
-
-
 def _full_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(node, n, set, bits): each text's key, its sorted distinct shingles and a bitmap of their hashes; a node once."""
 
@@ -114,10 +101,10 @@ def _full_sets(texts: DataFrame, shingle: int) -> DataFrame:
                 maps = np.zeros((b - a, 64 * MAPS), bool)
                 maps[owner, (tk.mix(values) % tk.U(64 * MAPS)).astype(np.int64)] = True
                 flat = np.packbits(maps, axis=1, bitorder="little").view(np.int64)
-                own = [pa.array(_nodes(values, bounds)), pa.array(np.diff(bounds)), tk.binary(values, bounds), *(pa.array(flat[:, i]) for i in range(MAPS))]
+                own = [pa.array(_nodes(values, bounds)), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64))), *(pa.array(flat[:, i]) for i in range(MAPS))]
                 yield pa.RecordBatch.from_arrays(own, names=["node", "n", "set", *(f"m{i}" for i in range(MAPS))])
 
-    schema = "node long, n long, set binary, " + ", ".join(f"m{i} long" for i in range(MAPS))
+    schema = "node long, n long, set array<long>, " + ", ".join(f"m{i} long" for i in range(MAPS))
     return texts.mapInArrow(gather, schema).dropDuplicates(["node"])
 
 
@@ -149,7 +136,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         same = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda z: z))
         near = pairs.join(one, "a").join(two, "b").where(same >= MATCHES).select("a", "b")
         one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-        return near.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+        both = near.join(one, "a").join(two, "b").select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("both"))
+        return both.where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b")
 
     labels = groups(lists, sets.drop("set"), possible, verify)
     discard(sets)
