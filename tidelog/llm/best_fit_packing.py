@@ -14,6 +14,8 @@ documents of their own; an empty table gives no rows. Other columns of the input
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -28,10 +30,21 @@ from tidelog.llm.cluster import cut, documents, ship, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, round int, group long, bins long, bound long, released boolean"
-#: Texts with other characters are encoded whole: Unicode tables of two versions could split them differently.
-PLAIN = r"[^\t\n\r\x20-\x7e¡-¬®-ɏ]|<\|"
+#: The largest character whose class no version of Unicode has changed lately. Texts with larger ones, with controls or
+#: with special tokens are encoded whole.
+LAST = 0x24F
 #: Parts of texts whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+
+
+def _plain(pattern: str) -> tuple[re.Pattern, re.Pattern]:
+    """The tokenizer's pattern with its classes of letters and numbers written out up to LAST, for Python's own regular
+    expressions; and what a text must not contain to be split by it."""
+    known = [chr(c) for c in range(LAST + 1)]
+    of = lambda kinds: "".join(re.escape(c) for c in known if unicodedata.category(c)[0] in kinds)
+    letters, numbers = of("L"), of("N")
+    own = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    return re.compile(own), re.compile(f"[^\t\n\r -~\xa1-\xac\xae-{chr(LAST)}]|<[|]")
 
 
 class Encoder:
@@ -40,20 +53,19 @@ class Encoder:
 
     def __init__(self, path: str | None):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         # the pattern belongs to the default file
-        self.split = regex.compile(public_tokenizers.PATTERN).findall if path is None else None
-        self.other, self.known = regex.compile(PLAIN), {}
+        self.pattern, self.other = _plain(public_tokenizers.PATTERN) if path is None else (None, None)
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if self.split is None or self.other.search(text):
+        if self.pattern is None or self.other.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = self.split(text)
+        parts = self.pattern.findall(text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if new := list(set(parts).difference(self.known)):
