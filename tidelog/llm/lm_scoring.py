@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ CHUNK_BYTES, BUCKET_GRAMS = 4 << 20, 1 << 20
 NAME_BITS = 40
 #: The word before the first of a text.
 START = tk.U(0x5851F42D4C957F2D)
+GATHERED = "chunk long, ids array<long>, data binary"
 CHUNKS = "chunk long, bucket int, n long, data binary"
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
@@ -107,13 +109,14 @@ class Chunk:
 
 
 def _gather(chunk_bytes: int):
-    """Rows (chunk, data): the texts as packed tables of about chunk_bytes."""
+    """Rows of GATHERED: the texts as packed tables of about chunk_bytes, with the ids that stand there."""
 
     def packed(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        texts, sink = pa.Table.from_batches(batches).select([0, 1, 2]).combine_chunks(), pa.BufferOutputStream()
+        texts, sink = pa.Table.from_batches(batches).select([0, 1]).combine_chunks(), pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(texts)
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "data"])
+        ids = texts.column(0).drop_null().unique().to_pylist()
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "ids", "data"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -121,7 +124,7 @@ def _gather(chunk_bytes: int):
         for batch in batches:
             for a, b, data, _ in tk.pieces(batch.column(1)):
                 if not held:
-                    number = batch.column(3)[a].as_py()  # a chunk is named by the number of its first text
+                    number = batch.column(2)[a].as_py()  # a chunk is named by the number of its first text
                 held.append(batch.slice(a, b - a))
                 size += len(data)
                 if size >= chunk_bytes:
@@ -133,8 +136,11 @@ def _gather(chunk_bytes: int):
     return gather
 
 
-def _texts(data: pa.BinaryScalar) -> pa.Table:
-    return pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+def _texts(data: pa.BinaryScalar, trusted: pa.ListScalar) -> pa.Table:
+    """(doc_id, text, trusted) of a chunk."""
+    texts = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+    good = pc.is_in(texts.column(0), trusted.values) if trusted.is_valid else pa.array([False] * texts.num_rows)
+    return texts.append_column("trusted", pc.fill_null(good, False))
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -145,8 +151,8 @@ def _rows(rows: list[tuple]) -> pa.Table:
 def _ask(buckets: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _rows([(number, *row) for row in Chunk(_texts(data), buckets).asked(buckets)]).to_batches()
+            for number, data, trusted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                yield from _rows([(number, *row) for row in Chunk(_texts(data, trusted), buckets).asked(buckets)]).to_batches()
 
     return ask
 
@@ -196,7 +202,7 @@ def _own(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 def _scorer(buckets: int, totals: tuple[int, int], words: int, prior: float, added: float):
     def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        texts = _texts(texts.column("data")[0])
+        texts = _texts(texts.column("data")[0], texts.column("trusted")[0])
         own = Chunk(texts, buckets)
         counts = counts.sort_by("bucket")
         parts = [_unpacked(d.as_py(), n, 8, 8) for n, d in zip(counts.column("n").to_pylist(), counts.column("data"), strict=True)]
@@ -223,10 +229,11 @@ def lm_scoring(docs: DataFrame, labels: DataFrame, chunk_bytes: int = CHUNK_BYTE
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // (3 * bucket_grams)))  # about one n-gram for three bytes of text
-    ids = saved(ids)  # the planner knows the size: it is broadcast if it is small
-    marked = own.join(ids, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("trusted"), F.monotonically_increasing_id().alias("number"))
-    chunks = saved(marked.mapInArrow(_gather(chunk_bytes), "chunk long, data binary"))
-    discard(ids)
+    # texts are not shuffled to mark trusted ones: each chunk is told which of its ids are
+    gathered = saved(own.withColumn("number", F.monotonically_increasing_id()).mapInArrow(_gather(chunk_bytes), GATHERED))
+    trusted = gathered.select("chunk", F.explode("ids").alias("target_id")).join(ids, "target_id").groupBy("chunk").agg(F.collect_set("target_id").alias("trusted"))
+    chunks = saved(gathered.join(trusted, "chunk", "left").select("chunk", "data", "trusted"))
+    discard(gathered)
     release(docs.sparkSession)
     totals = saved(chunks.mapInArrow(_ask(buckets), CHUNKS).groupBy("bucket").applyInArrow(_total, CHUNKS))
     release(docs.sparkSession)
