@@ -24,7 +24,7 @@ def tables():
 
 def test_each_oracle_has_a_query():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"block_index"}
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))

@@ -21,5 +21,9 @@ class ManifestError(TableError):
     pass
 
 
+class Fenced(TableError):
+    """Another writer has opened the table since; this one may not write any more."""
+
+
 class EngineOverloaded(TableError):
     """Work was shed: too many operations at once, or flushing and compaction are behind."""

@@ -65,16 +65,24 @@ def wiped(state: DataFrame, snap: DataFrame) -> DataFrame:
     return state.where(F.col("key").startswith(PREFIX)).select("key").join(snap.select("key"), "key", "left_anti")
 
 
-def diverging(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Keys that both replicas know and on whose visible value they differ. one, two: resolved rows."""
-    seen = lambda df, name: df.select("key", F.when(~F.col("is_tombstone"), F.col("value")).alias(name))
-    return seen(one, "x").join(seen(two, "y"), "key").where("not (x <=> y)").select("key")
-
-
-def committed(matches: DataFrame, rank: int = 2) -> DataFrame:
-    """(term, committed): the rank-th largest match index of each term. matches: one row per replica and term."""
-    own = matches.withColumn("rn", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("m"))))
-    return own.where(F.col("rn") == rank).select("term", F.col("m").alias("committed"))
+def diverging(*replicas: DataFrame) -> DataFrame:
+    """Keys on whose visible value some replica differs from another. replicas: resolved rows of each.
+
+    A replica that lacks a key, or has deleted it, shows nothing. One aggregate over all replicas' keys tells.
+    """
+    seen = [r.where(~F.col("is_tombstone")).select("key", "value") for r in replicas]
+    all_of = seen[0]
+    for other in seen[1:]:
+        all_of = all_of.unionByName(other)
+    found = all_of.groupBy("key").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return found.where((F.col("n") < len(seen)) | (F.col("lo") != F.col("hi"))).select("key")
+
+
+def committed(matches: DataFrame) -> DataFrame:
+    """(term, committed): the largest index that a majority of each term's replicas has reached. matches: one row per replica and term."""
+    by_term = Window.partitionBy("term")
+    own = matches.withColumns({"rn": F.row_number().over(by_term.orderBy(F.desc("m"))), "n": F.count("*").over(by_term)})
+    return own.where(F.col("rn") == F.floor(F.col("n") / 2) + 1).select("term", F.col("m").alias("committed"))
 
 
 def leaders(reports: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.sources.files import shared_dir
+
 ENTRY = ("value", "is_tombstone", "lsn")
 
 
@@ -45,11 +47,24 @@ def scan(ops: DataFrame, start=None, end=None) -> DataFrame:
     return live(newest(in_range(ops, start, end))).select("key", "value").orderBy("key")
 
 
-def lookup(ops: DataFrame, probes: DataFrame) -> DataFrame:
-    """(key, value) of each probed key, null if it is deleted or missing. Probes come first: only their versions are resolved."""
-    probes = probes.select("key").distinct()
-    found = live(newest(ops.join(probes, "key", "left_semi"))).select("key", "value")
-    return probes.join(found, "key", "left")
+#: Longest list of keys that is compared in the scan itself.
+LISTED = 1000
+
+
+def lookup(ops: DataFrame, probes: DataFrame | list) -> DataFrame:
+    """(key, value) of each probed key, null if it is deleted or missing. Probes come first: only their versions are resolved.
+
+    A short list of keys becomes a predicate, which reaches the files' statistics and bloom filters; then no op but
+    theirs is read or shuffled. Other probes are a semi-join, whose side the planner broadcasts if it knows it to be small.
+    """
+    if isinstance(probes, list):
+        keys = sorted(set(probes))
+        probes = ops.sparkSession.createDataFrame([(k,) for k in keys], f"key {ops.schema['key'].dataType.simpleString()}")
+        own = ops.where(F.col("key").isin(keys)) if keys and len(keys) <= LISTED else ops.join(probes, "key", "left_semi")
+    else:
+        probes = probes.select("key").distinct()
+        own = ops.join(probes, "key", "left_semi")
+    return probes.join(live(newest(own)).select("key", "value"), "key", "left")
 
 
 def missing(probes: DataFrame, ops: DataFrame) -> DataFrame:
@@ -61,10 +76,12 @@ def flat_reply(rows: DataFrame) -> DataFrame:
     """(pos, item): ordered (key, value) rows as one flat array reply, key at 2i and value at 2i + 1.
 
     Positions come from range partitions: rows are sorted by partition, counted per partition, and numbered from the
-    partition's offset. The counts are one small row per partition; no task sees all rows.
+    partition's offset. The counts are one small row per partition; no task sees all rows. The sorted rows are written
+    once to the shared folder, so that counts and positions are of the same partitions and nothing is resolved twice.
     """
+    shared_dir(rows.sparkSession)
     spread = rows.select("key", "value").repartitionByRange("key").sortWithinPartitions("key").withColumns({"part": F.spark_partition_id(), "mono": F.monotonically_increasing_id()})
-    spread = spread.withColumn("i", F.col("mono") - F.shiftleft(F.col("part").cast("long"), 33))
+    spread = spread.withColumn("i", F.col("mono") - F.shiftleft(F.col("part").cast("long"), 33)).drop("mono").checkpoint()
     counts = {r["part"]: r["n"] for r in spread.groupBy("part").agg(F.count("*").alias("n")).collect()}
     offset, cases = 0, [F.lit(-1), F.lit(0)]
     for part in sorted(counts):

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import columns
-from tidelog.operators import levels, manifest, raftlog, resolve
+from tidelog.operators import faults, levels, manifest, raftlog, resolve
 from tidelog.plans.fixtures import manifest_events, oplog, rlog
 from tidelog.plans.oracles import ORACLES as ORACLES
 from tidelog.sources import wal
+from tidelog.sources.files import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,8 +49,7 @@ def snapshot_at(spark, d):
 
 @_query
 def point_get(spark, d):
-    probes = spark.createDataFrame([("user:000003",), ("user:000007",), ("user:999999",)], "key string")
-    return resolve.lookup(oplog(spark, d), probes)
+    return resolve.lookup(oplog(spark, d), ["user:000003", "user:000007", "user:999999"])
 
 
 @_query
@@ -215,8 +214,9 @@ def raft_wiped(spark, d):
 
 @_query
 def convergence(spark, d):
+    """Three replicas that have applied the log up to different places."""
     ops = oplog(spark, d)
-    return raftlog.diverging(resolve.newest(resolve.as_of(ops, 9000)), resolve.newest(ops))
+    return raftlog.diverging(*(resolve.newest(resolve.as_of(ops, upto)) for upto in (9000, 9500, 10**12)))
 
 
 @_query
@@ -228,7 +228,18 @@ def commit_index(spark, d):
 
 @_query
 def leader_count(spark, d):
-    return raftlog.leaders(rlog(spark, d).select("term", (F.col("term") % 3).alias("node_id"), F.lit(True).alias("is_leader")))
+    """One node per term leads, but for every 1,000th report of the third term; followers report too."""
+    other = (F.col("term") == 3) & (F.col("idx") % 1000 == 7)
+    reports = rlog(spark, d).select("term", F.when(other, 5).otherwise(F.col("term") % 3).alias("node_id"), (F.col("idx") % 2 == 1).alias("is_leader"))
+    return raftlog.leaders(reports)
+
+
+@_query
+def fault_actions(spark, d):
+    """Each op as a message between five nodes, under rules of every kind."""
+    rules = [(1, "partition", 0, 1, None, None, None), (2, "delay", 1, 2, None, 40, None), (3, "random_delay", 1, 2, None, 10, 30), (4, "drop", 2, 3, 0.25, None, None), (5, "duplicate", 2, 3, 0.5, None, None), (6, "delay", 3, 4, None, 7, None)]
+    messages = oplog(spark, d).select(F.col("lsn").alias("seq"), (F.col("lsn") % 5).alias("src"), (F.floor(F.col("lsn") / 5) % 5).alias("dst"))
+    return faults.actions(messages, spark.createDataFrame(rules, faults.RULES), seed=11)
 
 
 @_query
@@ -250,7 +261,12 @@ def resp_roundtrip(spark, d):
 
 @_query
 def resp_dispatch(spark, d):
-    return columns.replies(oplog(spark, d))
+    """Ops as requests, every seventh of them not as it should be, and the replies to them."""
+    lsn, key, put = F.col("lsn"), F.col("key"), columns.command(F.lit("set"), F.col("key"), F.col("value"))
+    wire = F.when(lsn % 70 == 6, F.lit("+PING\r\n")).when(lsn % 70 == 13, F.lit("*0\r\n")).when(lsn % 70 == 20, columns.command(F.lit("SET"), key)).when(lsn % 70 == 27, columns.command(F.lit("Nope"), key))
+    wire = wire.when(lsn % 70 == 34, columns.command(F.lit("DEL"), key, key)).when(lsn % 70 == 41, columns.command(F.lit("SET"), key, F.lit(None))).when(lsn % 70 == 48, columns.command(F.lit("SCAN"), key))
+    wire = wire.when(lsn % 70 == 55, F.lit("hello")).when(lsn % 70 == 62, columns.command(F.lit("PING")))
+    return columns.replies(oplog(spark, d).select("lsn", wire.when(F.col("is_tombstone"), columns.command(F.lit("DEL"), key)).otherwise(put).alias("wire")))
 
 
 def _stream_input(spark: SparkSession, d: str, folder: str) -> DataFrame:
@@ -263,7 +279,7 @@ def _stream_input(spark: SparkSession, d: str, folder: str) -> DataFrame:
 def stream_lww(spark, d):
     from tidelog.streaming import ingest
 
-    folder = tempfile.mkdtemp(prefix="tidelog-stream-")
+    folder = fresh_dir(spark, "stream")
     ingest.append(_stream_input(spark, d, folder), f"{folder}/log", f"{folder}/state")
     return resolve.live(resolve.newest(spark.read.parquet(f"{folder}/log")))
 
@@ -272,10 +288,11 @@ def stream_lww(spark, d):
 def stream_stateful_lww(spark, d):
     from tidelog.streaming import ingest
 
-    folder = tempfile.mkdtemp(prefix="tidelog-stream-")
+    folder = fresh_dir(spark, "stream")
     updates = ingest.newest(_stream_input(spark, d, folder))
     sink = updates.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    sink.foreachBatch(lambda batch, n: batch.write.parquet(f"{folder}/out/batch={n}")).start().awaitTermination()
+    # a batch that is tried again replaces itself
+    sink.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).start().awaitTermination()
     return ingest.fold(spark.read.parquet(f"{folder}/out"))
 
 
@@ -286,9 +303,10 @@ def store_live(spark, d):
 
     ops = oplog(spark, d)
     half = ops.agg((F.max("lsn") / 2).cast("long")).first()[0] or 0
-    store = Store.open(spark, tempfile.mkdtemp(prefix="tidelog-store-"))
+    store = Store.open(spark, fresh_dir(spark, "store"))
     store.ingest(ops.where(F.col("lsn") <= half))
     base = store.snapshot().lsn
     store.ingest(ops.where(F.col("lsn") > half).withColumn("lsn", F.col("lsn") - base))
     store.compact(force=True)
+    store.close()
     return store.live().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "lsn")

@@ -128,10 +128,9 @@ select file_id, l0, case when l0>=4 then true else false end as saturated from (
 rows between unbounded preceding and current row) as l0 from (select distinct file_id from oplog) f) t
 """,
     "convergence": """
-select key from (select key, value, is_tombstone from (select * from (select *, row_number() over (partition by key order by lsn
-desc) rn from (select * from oplog where lsn<9000) a) z where rn=1) x) a join (select key as k2, value as v2, is_tombstone as t2
-from (select * from (select *, row_number() over (partition by key order by lsn desc) rn from oplog) z where rn=1) y) b on
-a.key=b.k2 where case when a.is_tombstone then null else a.value end is distinct from case when b.t2 then null else b.v2 end
+select key from (select r, key, value from (select *, row_number() over (partition by r, key order by lsn desc) rn from oplog join
+(select 1 as r, 9000 as upto union all select 2, 9500 union all select 3, 1000000000000) p on lsn < upto) t where rn=1 and not
+is_tombstone) v group by key having count(*) < 3 or count(distinct value) > 1
 """,
     "commit_index": """
 select term, m as committed from (select term, m, row_number() over (partition by term order by m desc) rn from (select term,
@@ -168,7 +167,11 @@ as reply from rlog
 select key from live
 """,
     "resp_dispatch": """
-select lsn, case when is_tombstone then ':1' else '+OK' end as reply from oplog
+select lsn, case lsn % 70 when 6 then '+PONG' when 13 then '-ERR unknown command or invalid format'
+when 20 then '-ERR wrong number of arguments for ''set'' command' when 27 then '-ERR unknown command ''NOPE'''
+when 34 then '-ERR wrong number of arguments for ''del'' command' when 41 then '-ERR invalid value'
+when 48 then '-ERR usage: SCAN start_key end_key' when 55 then '-ERR unknown command or invalid format' when 62 then '+PONG'
+else case when is_tombstone then ':1' else '+OK' end end as reply from oplog
 """,
     "resp_roundtrip": """
 select lsn, key, value from oplog where not is_tombstone
@@ -196,13 +199,36 @@ select level, id from (select 0 as level, cast(file_id as bigint) as id from (se
 f union all select 1, cast(100+file_id as bigint) from (select distinct file_id from oplog where file_id<4) g) x
 """,
     "leader_count": """
-select term, count(distinct n) as leaders from (select term, term % 3 as n from rlog) z group by term
+select term, count(distinct n) as leaders from (select term, case when term = 3 and idx % 1000 = 7 then 5 else term % 3 end as n,
+idx % 2 = 1 as l from rlog) z where l group by term
+""",
+    "fault_actions": """
+select m.seq, coalesce(bool_or(kind = 'partition' or kind = 'drop' and u < p), false) as dropped,
+coalesce(bool_or(kind = 'duplicate' and u < p), false) as duplicated, arg_max(case kind when 'delay' then lo when 'random_delay' then lo +
+cast(floor(u * (hi - lo)) as bigint) end, case when kind in ('delay', 'random_delay') then rule end) as delay_ms
+from (select lsn as seq, lsn % 5 as src, (lsn // 5) % 5 as dst from oplog) m left join (values (1, 'partition', 0, 1, null, null, null),
+(2, 'delay', 1, 2, null, 40, null), (3, 'random_delay', 1, 2, null, 10, 30), (4, 'drop', 2, 3, 0.25, null, null), (5, 'duplicate', 2, 3,
+0.5, null, null), (6, 'delay', 3, 4, null, 7, null)) r(rule, kind, a, b, p, lo, hi) on src = a and dst = b or kind = 'partition' and
+src = b and dst = a cross join lateral (select ((m.seq * 1103515245 + rule * 12345 + 11) % 2147483648) / 2147483648.0 as u) d group by m.seq
+""",
+    "block_index": """
+recursive e as (select file_id, key, 17 + length(key) + coalesce(length(value), 0) as size, row_number() over (partition by file_id order
+by key) as i from (select *, row_number() over (partition by file_id, key order by lsn desc) rn from oplog) t where rn=1),
+p as (select file_id, i, key, size, 0 as block, size as used from e where i=1 union all select e.file_id, e.i, e.key, e.size, case when
+p.used + e.size > 4096 then p.block + 1 else p.block end, case when p.used + e.size > 4096 then e.size else p.used + e.size end from p join
+e on e.file_id=p.file_id and e.i=p.i+1)
+select file_id, cast(block as int) as block, min(key) as first_key, count(*) as entries, cast(sum(size) as bigint) as raw_bytes from p
+group by file_id, block
 """,
 }
 
 
 def _sql(body: str) -> str:
-    return f"with oplog as ({OPLOG}), rlog as ({RLOG}), live as ({LIVE})\n{body.strip()}"
+    views = f"oplog as ({OPLOG}), rlog as ({RLOG}), live as ({LIVE})"
+    body = body.strip()
+    if body.startswith("recursive "):  # more views
+        return f"with recursive {views}, {body.removeprefix('recursive ')}"
+    return f"with {views}\n{body}"
 
 
 ORACLES = {name: _sql(body) for name, body in BODIES.items()}

@@ -1,6 +1,7 @@
 """Log files of little-endian records: crc32, lsn, key length, key, tombstone flag, value length, value.
 
-The CRC covers everything behind it. A file is read up to its first bad or incomplete record; later files are still
+The CRC covers everything behind it. The flag has a second bit, set in all records of a batch but the last one: a
+batch is read whole or not at all, and a batch of one op looks as if there were no batches. A file is read up to its first bad or incomplete record; later files are still
 read. Batch reads go through Spark's ``binaryFile`` source, so any store that Spark can read will do.
 """
 
@@ -14,30 +15,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of the flag: the record deletes its key; the next record belongs to the same batch.
+DEAD, MORE = 1, 4
 HEAD = struct.Struct("<IQI")
 RECORD = "lsn long, key binary, value binary, is_tombstone boolean"
 
 
-def encode(lsn: int, key: bytes, value: bytes | None) -> bytes:
-    """One record; a value of None is a tombstone."""
+def encode(lsn: int, key: bytes, value: bytes | None, more: bool = False) -> bytes:
+    """One record; a value of None is a tombstone. more: another record of the batch follows."""
     own = value or b""
-    body = struct.pack("<QI", lsn, len(key)) + key + struct.pack("<BI", value is None, len(own)) + own
+    body = struct.pack("<QI", lsn, len(key)) + key + struct.pack("<BI", DEAD * (value is None) | MORE * more, len(own)) + own
     return struct.pack("<I", zlib.crc32(body)) + body
 
 
 def decode(data: bytes) -> Iterator[tuple[int, bytes, bytes | None]]:
-    """(lsn, key, value) up to the first record that is cut short or fails its CRC."""
-    at = 0
+    """(lsn, key, value) of the whole batches before the first record that is cut short or fails its CRC."""
+    at, batch = 0, []
     while at + HEAD.size <= len(data):
         crc, lsn, n = HEAD.unpack_from(data, at)
         value_at = at + HEAD.size + n + 5
         if value_at > len(data):
             return
-        dead, m = struct.unpack_from("<BI", data, value_at - 5)
+        flag, m = struct.unpack_from("<BI", data, value_at - 5)
         if value_at + m > len(data) or zlib.crc32(data[at + 4 : value_at + m]) != crc:
             return
-        yield lsn, data[at + HEAD.size : value_at - 5], None if dead else data[value_at : value_at + m]
+        batch.append((lsn, data[at + HEAD.size : value_at - 5], None if flag & DEAD else data[value_at : value_at + m]))
         at = value_at + m
+        if not flag & MORE:
+            yield from batch
+            batch = []
 
 
 def _little(number: Column, size: int) -> Column:
