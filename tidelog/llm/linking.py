@@ -69,62 +69,38 @@ def lists_of(postings: DataFrame) -> DataFrame:
 
 
 class _Linker:
-    """The state of ``groups``: nodes' lists, current labels and the pairs tried so far."""
+    """What ``groups`` works with: features of nodes, and the pairs tried and links found so far."""
 
-    def __init__(self, lists: DataFrame, features: DataFrame, possible: Possible, verify: Verify):
-        self.lists, self.features, self.possible, self.verify = lists, features, possible, verify
+    def __init__(self, features: DataFrame, possible: Possible, verify: Verify):
+        self.features, self.possible, self.verify = features, possible, verify
         self.names = [c for c in features.columns if c != "node"]
-        self.labels: DataFrame | None = None  # (node, label) of nodes in groups of two or more
         self.tried: list[DataFrame] = []
-        self.spark = lists.sparkSession
+        self.links: list[DataFrame] = []
+        self.spark = features.sparkSession
 
     def side(self, x: str) -> DataFrame:
         return self.features.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in self.names))
 
     def confirmed(self, pairs: DataFrame) -> tuple[DataFrame, int, int]:
-        """The links (a, b) among pairs (a, b), a < b; how many pairs were tried, and how many of them are links."""
+        """The links among the pairs (x, y, u, v) that are possible and were not tried; how many pairs these were, and how many of them are links.
+
+        u and v are the groups of a pair's nodes. A pair's smaller node becomes a, the other one b.
+        """
+        swap = F.col("x") > F.col("y")
+        both = [F.when(swap, F.col(j)).otherwise(F.col(i)).alias(c) for c, i, j in (("a", "x", "y"), ("b", "y", "x"), ("u", "u", "v"), ("v", "v", "u"))]
+        pairs = pairs.select(*both).dropDuplicates(["a", "b"])
+        if self.tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, self.tried).select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs.join(self.side("a"), "a").join(self.side("b"), "b").where(self.possible("a", "b")).select("a", "b", "u", "v")
         pairs = saved(pairs)
-        linked = saved(self.verify(pairs).select("a", "b"))
+        linked = saved(self.verify(pairs).select("a", "b", "u", "v"))
         self.tried.append(pairs)
+        self.links.append(linked.select("a", "b"))
         release(self.spark)
         return linked, pairs.count(), linked.count()
 
-    def new(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of x and y that are possible links and were not tried."""
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if self.tried:
-            pairs = pairs.join(reduce(DataFrame.unionByName, self.tried), ["a", "b"], "left_anti")
-        return pairs.join(self.side("a"), "a").join(self.side("b"), "b").where(self.possible("a", "b")).select("a", "b")
-
-    def labelled(self, nodes: DataFrame, node: str, label: str) -> DataFrame:
-        if self.labels is None:
-            return nodes.withColumn(label, F.col(node))
-        found = self.labels.select(F.col("node").alias(node), F.col("label").alias("_label"))
-        return nodes.join(found, node, "left").withColumn(label, F.coalesce("_label", F.col(node))).drop("_label")
-
-    def join(self, linked: DataFrame) -> None:
-        """Take up confirmed links: groups that they join get the smallest of their labels."""
-        edges = self.labelled(self.labelled(linked, "a", "u"), "b", "v").where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
-        moved = components(edges).select(F.col("node").alias("old"), F.col("label").alias("moved"))
-        if self.labels is None:
-            now = moved.select(F.col("old").alias("node"), F.col("moved").alias("label"))
-        else:
-            own = self.labels.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("moved", "label").alias("label"))
-            known = self.labels.select("node")
-            now = own.unionByName(moved.select(F.col("old").alias("node"), F.col("moved").alias("label")).join(known, "node", "left_anti"))
-        before, self.labels = self.labels, saved(now)
-        if before is not None:
-            discard(before)
-        release(self.spark)
-
-    def mixed(self) -> DataFrame:
-        """(key, node, label) of the lists that hold members of several groups."""
-        named = self.labelled(self.lists.select("key", "node"), "node", "label")
-        keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        return named.join(keys, "key")
-
     def attempts(self, named: DataFrame, turn: int) -> DataFrame:
-        """(x, y): for each node members of its lists' largest other group, and one of another group."""
+        """(x, y, u, v): for each node members of its lists' largest other group, and one of another group."""
         drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)).alias("h"), "node"))["node"].alias(f"y{i}") for i in range(DRAWS)]
         own = named.groupBy("key", "label").agg(F.count("*").alias("n"), *drawn)
         most = F.max(F.struct("n", F.col("label").alias("l"), *(f"y{i}" for i in range(DRAWS)))).alias("most")
@@ -132,20 +108,37 @@ class _Linker:
         tops = own.groupBy("key").agg(most, some)
         to = [F.struct(F.lit(i).alias("kind"), F.col("most.l").alias("l"), F.col(f"most.y{i}").alias("y")) for i in range(DRAWS)]
         to.append(F.struct(F.lit(DRAWS).alias("kind"), F.col("some.l").alias("l"), F.col("some.y").alias("y")))
-        each = named.join(tops, "key").select(F.col("node").alias("x"), "label", F.explode(F.array(*to)).alias("to"))
-        each = each.where("label <> to.l").groupBy("x", "to.kind", "to.y").agg(F.count("*").alias("n"))
-        return each.groupBy("x", "kind").agg(F.max_by("y", F.struct("n", "y")).alias("y")).select("x", "y")
+        each = named.join(tops, "key").select(F.col("node").alias("x"), F.col("label").alias("u"), F.explode(F.array(*to)).alias("to"))
+        each = each.where("u <> to.l").groupBy("x", "u", "to.kind", "to.y", F.col("to.l").alias("v")).agg(F.count("*").alias("n"))
+        return each.groupBy("x", "kind").agg(F.max_by(F.struct("y", "u", "v"), F.struct("n", "y")).alias("p")).select("x", "p.y", "p.u", "p.v")
 
     def rest(self, named: DataFrame) -> DataFrame:
-        """Pairs (x, y) of members of different groups that may be links, each from the first list where both are."""
+        """Pairs (x, y, u, v) of members of different groups that may be links, each from the first list where both are."""
         keys = named.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a node has few keys
         side = lambda x: self.side(x).join(keys.select(F.col("node").alias(x), F.col("keys").alias(f"{x}_keys")), x)
         most = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
         named = named.join(most, "key")
-        left = named.where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("lx")).join(side("x"), "x")
-        right = named.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("main")).join(side("y"), "y")
-        both = (left["key"] == right["key"]) & F.expr("lx <> ly and (main or x < y)") & self.possible("x", "y") & (F.array_min(F.array_intersect("x_keys", "y_keys")) == left["key"])
-        return left.join(right, both).select("x", "y")
+        left = named.where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("u")).join(side("x"), "x")
+        right = named.select("key", F.col("node").alias("y"), F.col("label").alias("v"), (F.col("label") == F.col("most")).alias("main")).join(side("y"), "y")
+        both = (left["key"] == right["key"]) & F.expr("u <> v and (main or x < y)") & self.possible("x", "y") & (F.array_min(F.array_intersect("x_keys", "y_keys")) == left["key"])
+        return left.join(right, both).select("x", "y", "u", "v")
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """The rows (key, node, label) of the lists that hold members of several groups."""
+    keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return named.join(keys, "key")
+
+
+def _moved(linked: DataFrame) -> DataFrame:
+    """(label, to): groups that links join move to the smallest group next to them, or next to that.
+
+    Groups of one label are always connected; connected groups may keep different labels for a turn.
+    """
+    both = linked.select("u", "v").unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v"))
+    beyond = near.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    return near.join(beyond, "v").select(F.col("u").alias("label"), F.col("w").alias("to"))
 
 
 def groups(lists: DataFrame, features: DataFrame, possible: Possible, verify: Verify, turns: int = TURNS) -> DataFrame:
@@ -153,30 +146,32 @@ def groups(lists: DataFrame, features: DataFrame, possible: Possible, verify: Ve
 
     lists: (key, node, pivot) as ``lists_of`` makes them, a saved table; it is discarded. features: a row per node.
     possible: of two prefixes of feature columns, false only if such nodes cannot be a link. verify: gets distinct
-    candidate pairs (a, b), a < b, and returns those that are links. The groups are those of all links between nodes
-    that share a key, whatever the number of turns is.
+    candidate pairs (a, b, and more columns), a < b, and returns the rows of those that are links. The groups are those
+    of all links between nodes that share a key, whatever the number of turns is.
     """
-    work = _Linker(lists, features, possible, verify)
+    work = _Linker(features, possible, verify)
     stars = lists.where("node <> pivot").groupBy("pivot", "node").agg(F.count("*").alias("n"))
-    stars = stars.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("y")).select(F.col("node").alias("x"), "y")
-    linked, tried, found = work.confirmed(work.new(stars))
-    work.join(linked)
-    discard(linked)
-    named = saved(work.mixed())
+    stars = stars.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("y")).select(F.col("node").alias("x"), "y", F.col("node").alias("u"), F.col("y").alias("v"))
+    linked, tried, found = work.confirmed(stars)
+    labels = saved(components(linked))
+    work.links = [labels.select(F.col("node").alias("a"), F.col("label").alias("b"))]
+    named = saved(_mixed(lists.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))))
+    discard(lists, linked)
+    used = [labels]
     for turn in range(turns):
         if named.isEmpty():
             break
-        linked, tried, found = work.confirmed(work.new(work.attempts(named, turn)))
+        linked, tried, found = work.confirmed(work.attempts(named, turn))
+        used.append(linked)
         if found:
-            work.join(linked)
-            old, named = named, saved(work.mixed())
+            moved = named.join(_moved(linked), "label", "left").select("key", "node", F.coalesce("to", "label").alias("label"))
+            old, named = named, saved(_mixed(moved))
             discard(old)
-        discard(linked)
+            release(work.spark)
         if found <= YIELD * tried:
             break
-    linked, tried, found = work.confirmed(work.new(work.rest(named)))
-    if found:
-        work.join(linked)
-    discard(lists, named, linked, *work.tried)
+    used.append(work.confirmed(work.rest(named))[0])
+    out = saved(components(reduce(DataFrame.unionByName, work.links)))
+    discard(named, *used, *work.tried)
     release(work.spark)
-    return work.labels
+    return out

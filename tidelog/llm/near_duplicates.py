@@ -123,24 +123,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     sets = saved(_full_sets(read.select("text"), shingle))
     lists = lists_of(posts)
     discard(posts)
-    signs = nodes.select("node", "signature")
+    features = sets.drop("set").join(nodes.select("node", "signature"), "node")
 
     def possible(x: str, y: str) -> Column:
-        """Each bit that one set's map has and the other's lacks is a shingle outside the intersection."""
+        """Each bit that one set's map has and the other's lacks is a shingle outside the intersection; and enough coordinates must collide."""
         lone = lambda a, b: sum((F.bit_count(F.col(f"{a}_m{i}").bitwiseAND(F.bitwise_not(f"{b}_m{i}"))) for i in range(MAPS)), F.lit(0))
         most = F.least(F.col(f"{x}_n") - lone(x, y), F.col(f"{y}_n") - lone(y, x))
-        return 100 * most >= percent * (F.col(f"{x}_n") + F.col(f"{y}_n") - most)
+        sizes = 100 * F.least(f"{x}_n", f"{y}_n") >= percent * F.greatest(f"{x}_n", f"{y}_n")
+        same = F.size(F.filter(F.zip_with(f"{x}_signature", f"{y}_signature", lambda p, q: p == q), lambda z: z))
+        return sizes & (100 * most >= percent * (F.col(f"{x}_n") + F.col(f"{y}_n") - most)) & (same >= MATCHES)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one, two = (signs.select(F.col("node").alias(x), F.col("signature").alias(f"s_{x}")) for x in "ab")
-        same = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda z: z))
-        near = pairs.join(one, "a").join(two, "b").where(same >= MATCHES).select("a", "b")
         one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-        both = near.join(one, "a").join(two, "b").select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("both"))
-        return both.where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b")
+        both = pairs.join(one, "a").join(two, "b").withColumns({"sizes": F.size("x") + F.size("y"), "both": F.size(F.array_intersect("x", "y"))})
+        return both.where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select(pairs.columns)
 
-    labels = groups(lists, sets.drop("set"), possible, verify)
-    discard(sets)
+    features = saved(features)
+    labels = groups(lists, features, possible, verify)
+    discard(sets, features)
     named = nodes.select("node", "least_id").join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")
