@@ -235,7 +235,7 @@ def plain_removal(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "hot", "bucket"), [(20, 10**6, 1 << 20), (20, 3, 1 << 20), (40, 10**6, 2000), (200, 10**6, 1 << 20)])
+@pytest.mark.parametrize(("length", "hot", "bucket"), [(20, 10**6, 1 << 20), (20, 3, 1 << 20), (20, 1, 1 << 20), (40, 10**6, 2000), (200, 10**6, 1 << 20)])
 def test_repeated_passages(spark, length, hot, bucket):
     random.seed(4)
     vocabulary = ["alpha", "béta", "gam", "d", "ee", "zeta"]

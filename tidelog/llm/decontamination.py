@@ -11,8 +11,10 @@ shingle of the items are looked up; the others have similarity 0 with each item.
 The items are the stated query set. They are taken in blocks of about ``block_items``, so what a task holds is
 bounded however many there are; each block passes over the texts without a shuffle.
 
+Weights are taken over all items, whatever block they are in. Only shingles of several items come to the driver for that.
+
 Defined results: a null or empty text matches nothing and is kept, as does a text of which no word is left; a null
-or empty item matches nothing; a null doc_id is kept as null; repeated rows each give a row; empty tables give no
+or empty item matches nothing; an item without an id matches as a null in the list; a null doc_id is kept as null; repeated rows each give a row; empty tables give no
 rows or no matches. An item id that stands twice is named once for a text. Extra columns do not matter.
 """
 
@@ -57,18 +59,20 @@ def _packed(sums: np.ndarray) -> np.ndarray:
 class Items:
     """An index of benchmark items: their shingles, weights and fingerprints in multi-index blocks."""
 
-    def __init__(self, ids: list[int], texts: list[str], shingle: int = SHINGLE, radius: int = RADIUS):
+    def __init__(self, ids: list[int | None], texts: list[str], total: int, common: dict[int, int], shingle: int = SHINGLE, radius: int = RADIUS):
+        """total: number of all items; common: how many items hold a shingle, of those that several do."""
         column = pa.array([t.encode() for t in texts], pa.binary())
         data, offs = tk.buffers(column)
         hashes, owner, _, _ = tk.words(data, offs, lower=True, alphabet=tk.ALNUM)
-        self.ids, self.shingle, self.radius = np.array(ids, np.int64), shingle, radius
+        self.ids, self.shingle, self.radius = ids, shingle, radius
         self.length = np.bincount(owner, minlength=len(ids))
         made, owner = tk.shingles(hashes, owner, len(ids), shingle)
         values, bounds = tk.distinct(made, owner, len(ids))
         self.sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.known, counts = np.unique(values, return_counts=True)
-        self.weight = np.round(1000 * np.log1p(len(ids) / counts)).astype(np.int64)
-        self.unknown = int(round(1000 * np.log1p(len(ids))))
+        self.known = np.unique(values)
+        counts = np.array([common.get(int(v), 1) for v in self.known.view(np.int64)], np.float64)
+        self.weight = np.round(1000 * np.log1p(total / counts)).astype(np.int64)
+        self.unknown = int(round(1000 * np.log1p(total)))
         sums = np.zeros((len(ids), 64), np.int64)
         np.add.at(sums, owner, _signs(made) * self.weights(made)[:, None])
         self.print = _packed(sums)
@@ -158,32 +162,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     plain = docs.toDF(*(f"c{i}" for i in range(n)))
     out = plain.withColumns({"t": text_of(f"c{texts[0]}"), "i": F.array().cast("array<long>")})
     schema = out.schema
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("item_id is not null")
-    blocks = max(1, -(-items.count() // block_items))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
+    total = items.count()
+    common = dict(items.select("text").mapInArrow(_shingled, "shingle long").groupBy("shingle").count().where("count > 1").collect())
+    blocks = max(1, -(-total // block_items))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         ids, own = [r["item_id"] for r in rows], [r["text"] for r in rows]
-        out = out.mapInArrow(_scan(ids, own, threshold, schema), schema)
+        out = out.mapInArrow(_scan(ids, own, total, common, threshold, schema), schema)
     out = out.withColumn("i", F.array_sort(F.array_distinct("i")))
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("i").alias(found))
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each item."""
+    for batch in batches:
+        for a, b, data, offs in tk.pieces(batch.column(0)):
+            hashes, owner, _, _ = tk.words(data, offs, lower=True, alphabet=tk.ALNUM)
+            values, _ = tk.distinct(*tk.shingles(hashes, owner, b - a, SHINGLE), b - a)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["shingle"])
+
+
 @lru_cache(2)
-def _index(ids: tuple[int, ...], own: tuple[str, ...]) -> Items:
+def _index(ids: tuple, own: tuple[str, ...], total: int, common: tuple) -> Items:
     """Built once per worker and block."""
-    return Items(list(ids), list(own))
+    return Items(list(ids), list(own), total, dict(common))
 
 
-def _scan(ids: list[int], own: list[str], threshold: float, schema: T.StructType):
+def _scan(ids: list, own: list[str], total: int, common: dict[int, int], threshold: float, schema: T.StructType):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(tuple(ids), tuple(own))
+        index = _index(tuple(ids), tuple(own), total, tuple(common.items()))
         for batch in batches:
             at = batch.schema.get_field_index("t")
             lists = batch.column(at + 1).to_pylist()
             for a, b, data, offs in tk.pieces(batch.column(at)):
                 hashes, owner, _, _ = tk.words(data, offs, lower=True, alphabet=tk.ALNUM)
                 for d, lo, hi in _places(index, hashes, owner, b - a):
-                    lists[a + d] = [*lists[a + d], *index.ids[index.matches(hashes[lo:hi], threshold)].tolist()]
+                    lists[a + d] = [*lists[a + d], *(index.ids[i] for i in index.matches(hashes[lo:hi], threshold))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(lists, pa.list_(pa.int64()))], names=batch.schema.names)
 
     return scan

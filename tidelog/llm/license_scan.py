@@ -26,19 +26,29 @@ from tidelog.llm.cluster import documents, text_of
 
 #: Phrases and labels that results must carry.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Notices with label and key phrase.
+#: Notices with label and key phrase, from the licences' own texts and the notices that they ask for.
 NOTICES = (
     ("released under the mit license", "mit", "mit license"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", "permission is hereby granted free of charge"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "mit", "permission is hereby granted free of charge"),
     ("licensed under the apache license version 2 0", "apache-2", "apache license version 2"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "apache-2", "without warranties or conditions of any kind"),
     ("this work is licensed under the gnu general public license version 3", "gpl-3", "gnu general public license version 3"),
+    ("this work is licensed under the gnu general public license version 2", "gpl-2", "gnu general public license version 2"),
+    ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl", "terms of the gnu general public license"),
     ("this work is licensed under the gnu lesser general public license version 3", "lgpl-3", "gnu lesser general public license version 3"),
+    ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1", "lgpl-2.1", "terms of the gnu lesser general public license"),
     ("this work is licensed under the gnu affero general public license version 3", "agpl-3", "gnu affero general public license version 3"),
     ("licensed under cc by nc 4 0", "cc-by-nc-4", "cc by nc 4 0"),
     ("licensed under cc by sa 4 0", "cc-by-sa-4", "cc by sa 4 0"),
     ("licensed under cc by 4 0", "cc-by-4", "cc by 4 0"),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4", "creative commons attribution 4 0"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0", "waived all copyright and related or neighboring rights"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", "redistribution and use in source and binary forms"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2", "mozilla public license v 2 0"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "epl-2", "eclipse public license 2 0"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", "for any purpose with or without fee is hereby granted"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib", "in no event will the authors be held liable"),
+    ("distributed under the boost software license version 1 0", "bsl-1", "boost software license version 1 0"),
     ("this is free and unencumbered software released into the public domain", "unlicense", "free and unencumbered software"),
 )
 KEYS = 3

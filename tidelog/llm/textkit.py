@@ -116,10 +116,12 @@ class Sums:
 def spans(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte strings from starts to ends."""
     size = ends - starts
-    last = np.maximum(ends - 7, starts)
-    long = (sums.prefix[last] - sums.prefix[starts]) * sums.back[starts]
-    short = sums.grams[starts] & _MASK[np.minimum(size, 8)]
-    return mix(np.where(size > 8, long, short) + size.astype(U) * _COMBINE[0])
+    least = size.min(initial=9)
+    made = (sums.prefix[np.maximum(ends - 7, starts) if least < 7 else ends - 7] - sums.prefix[starts]) * sums.back[starts]
+    if least <= 8:
+        made = np.where(size > 8, made, sums.grams[starts] & _MASK[np.minimum(size, 8)])
+    made += size.astype(U) * _COMBINE[0]
+    return mix(made)
 
 
 def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, alphabet: np.ndarray = NOT_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -10,7 +10,8 @@ a file) and the offset of its successor (header and Content-Length). Stretches o
 the next one are one run, so chains are short; pointer jumping over runs from each file's start then keeps what is
 reachable. Magic inside payloads never is. Payloads are put together from the pieces that a record spans.
 
-Defined results: a null or empty html is an empty payload; pages without an id get no record; rows that repeat an id
+Defined results: a null or empty html is an empty payload; a page without an id has a record without a number, which
+revisits the page with the smallest id that has its payload and is a response if there is none; rows that repeat an id
 give a record each (of equal payloads and ids too: all responses, if no smaller id has that payload).
 An empty table writes and reads nothing. Other columns of the input are ignored.
 """
@@ -43,19 +44,19 @@ def with_digest(df: DataFrame, payload: Column, name: str = "digest") -> DataFra
 
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, record): each page as the text of a WARC record without its terminator."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), text_of("html").alias("html")).where("page_id is not null")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), text_of("html").alias("html"))
     own = own.withColumns({"sha": F.unhex(F.sha1(F.col("html").cast("binary"))), "bytes": F.octet_length("html")})
     small = saved(own.where(F.col("bytes") >= least_bytes).select("page_id", "sha"))
-    first = small.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = saved(small.join(first, "sha").where("first_id < page_id").distinct())
-    own = own.join(again, ["page_id", "sha"], "left")  # pages stay where they are if the planner finds the revisits few
+    first = small.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
+    again = saved(small.join(first, "sha").where("page_id is null or first_id < page_id").distinct().select(F.col("sha").alias("_sha"), F.col("page_id").alias("_id"), "first_id"))
+    own = own.join(again, (F.col("sha") == F.col("_sha")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")  # pages stay where they are if the planner finds the revisits few
     own = with_digest(own, F.col("html").cast("binary"))
     revisit = F.col("first_id").isNotNull()
     body = F.when(revisit, "").otherwise(F.col("html"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
     head = [
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(revisit, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(">")))).otherwise(""),
@@ -177,12 +178,12 @@ def op6_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op6_web_archive": op6_web_archive}
 ORACLES = {
     "op6_web_archive": """
-with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as x from pages where page_id is not null),
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as x from pages),
 d as (select page_id, n, x, min(page_id) over (partition by x) as f from p)
 select page_id, n as payload_bytes,
   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(x, cast(10 * (i // 8) + 1 as bigint), 10) as bigint) >> (35 - 5 * (i % 8))) & 31 as bigint), 1) for i in range(32)], '') as payload_digest,
-  case when f < page_id then 'revisit' else 'response' end as record_type,
-  case when f < page_id then f end as refers_to
+  case when f < page_id or page_id is null and f is not null then 'revisit' else 'response' end as record_type,
+  case when f < page_id or page_id is null then f end as refers_to
 from d
 """
 }
