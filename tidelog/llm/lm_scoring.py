@@ -39,7 +39,7 @@ from tidelog.llm.cluster import discard, documents, release, saved, ship, table,
 
 #: Weight of the unigram estimate, in tokens; and what is added to each unigram count.
 PRIOR, ADDED = 100.0, 0.05
-CHUNK_BYTES, BUCKET_GRAMS = 4 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_GRAMS = 3 << 20, 3 << 18
 #: Bits that name an n-gram in its bucket.
 NAME_BITS = 40
 #: The word before the first of a text.
