@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,24 +114,48 @@ def distance(a, b):
     return last[-1]
 
 
-def test_edit_similarity(spark):
+def similar_pairs(spark, pairs):
+    codes = {f"{c}_code": line_dedup.coded(F.split(c, " ")) for c in "xy"}
+    return {(r["x"], r["y"]): r["s"] for r in spark.createDataFrame(pairs, "x string, y string").withColumns(codes).select("x", "y", line_dedup.similar(80).alias("s")).collect()}
+
+
+def some_pairs(most):
     random.seed(8)
     pairs = []
     for _ in range(400):
-        own = ["".join(random.choice("abé") for _ in range(random.randint(0, 4))) for _ in range(random.randint(1, 12))]
+        own = ["".join(random.choice("abé") for _ in range(random.randint(1, 4))) for _ in range(random.randint(1, most))]
         other = list(own)
         for _ in range(random.randint(0, 3)):
             at = random.randrange(len(other) + 1)
-            other[at : at + random.randint(0, 2)] = ["".join(random.choice("abc") for _ in range(random.randint(0, 4))) for _ in range(random.randint(0, 2))]
-        pairs.append((" ".join(own), " ".join(other)))
-    for r in spark.createDataFrame(pairs, "x string, y string").withColumns({"x_code": line_dedup.coded(F.split("x", " ")), "y_code": line_dedup.coded(F.split("y", " "))}).select("x", "y", line_dedup.similar(80).alias("s")).collect():
-        most = 20 * max(len(r["x"]), len(r["y"])) // 100
-        assert r["s"] == (distance(r["x"], r["y"]) <= most), r
+            other[at : at + random.randint(0, 2)] = ["".join(random.choice("abc") for _ in range(random.randint(1, 4))) for _ in range(random.randint(0, 2))]
+        pairs.append((" ".join(own), " ".join(other or ["x"])))
+    return pairs
 
 
-def test_edit_similarity_of_long_lines(spark, monkeypatch):
+def test_edit_similarity(spark):
+    for (x, y), got in similar_pairs(spark, some_pairs(12)).items():
+        edits, words_ = distance(x.split(), y.split()), max(len(x.split()), len(y.split()))
+        want = 5 * distance(x, y) <= max(len(x), len(y)) and (words_ <= 12 or edits <= 60 * words_ // 100)
+        assert got == want, (x, y)
+
+
+def test_edit_similarity_of_long_lines_is_of_words(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG", 0)
+    found = similar_pairs(spark, [p for p in some_pairs(30) if max(len(x.split()) for x in p) > 12])
+    for (x, y), got in found.items():
+        assert got == (5 * distance(x.split(), y.split()) <= max(len(x.split()), len(y.split()))), (x, y)
+    assert 20 < sum(found.values()) < len(found)
+
+
+def test_edit_similarity_of_very_long_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONGEST", 12)
+    base = [f"w{i}" for i in range(40)]
+    swap = lambda places: " ".join("x" if i in places else w for i, w in enumerate(base))
+    own = " ".join(base)
+    more = " ".join(base[:20] + ["a b c d e"] + base[20:])
+    want = {swap({1, 9, 30}): True, swap(set(range(0, 40, 2))): False, more: True, " ".join(base[1:] + ["y"]): False}
     monkeypatch.setattr(line_dedup, "LONG", 0)
-    test_edit_similarity(spark)
+    assert {y: got for (_, y), got in similar_pairs(spark, [(own, y) for y in want]).items()} == want
 
 
 def test_line_dedup(spark):
@@ -200,6 +225,30 @@ def test_similar_lines_against_edit_similarity_alone(spark):
     assert gone <= should and len(should) > 60 and len(should - gone) <= len(should) // 50, sorted(should - gone)
 
 
+def test_lines_with_clashing_columns(spark):
+    names = ["doc_id", "text", "n_lines", "n_removed", "removed", "own", "c0", "line"]
+    docs = spark.createDataFrame([(1, "one line here\none line here", 5, "x", "y", "z", "c", 7), (None, None, 1, None, None, None, None, None)], "doc_id long, text string, n_lines int, n_removed string, removed string, own string, c0 string, line long")
+    out = line_dedup.line_dedup(docs, radius=None)
+    assert sorted(out.columns) == sorted(names)
+    assert {(r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["own"], r["line"]) for r in out.collect()} == {(1, "one line here", 2, 1, "z", 7), (None, None, 1, 0, None, None)}
+    stage = line_dedup.without_repeated_lines(docs, radius=None)
+    assert stage.columns == names and {(r["n_lines"], r["n_removed"]) for r in stage.collect()} == {(5, "x"), (1, None)}
+
+
+def test_lines_of_a_megabyte(spark):
+    """Long lines are compared in bounded time: alike but for a few words, and of other words throughout."""
+    rng = random.Random(3)
+    words_ = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    other = list(words_)
+    for at in range(0, len(other), 40):
+        other[at] = "x"
+    mixed = words_[:20] + [f"v{rng.randrange(10**6)}" for _ in range(120_000)]
+    began = time.monotonic()
+    out = line_dedup.line_dedup(frame(spark, [(1, " ".join(words_)), (2, " ".join(other)), (3, " ".join(mixed))]), radius=None)
+    assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {1: 0, 2: 1, 3: 0}
+    assert time.monotonic() - began < 180
+
+
 def test_short_lines_are_lines(spark):
     rows = [(1, "and ornd.\nsome other line of this text"), (2, "and ornd.\n\nA\n \n\n"), (3, "a\nand ornd.")]
     assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame(spark, rows)).collect()} == {1: rows[0][1], 2: "\nA\n \n\n", 3: ""}
