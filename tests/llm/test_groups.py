@@ -71,8 +71,8 @@ def shingle_set(text, k):
     return {tuple(own[i : i + k]) for i in range(len(own) - k + 1)} if len(own) >= k else {tuple(own)} if own else set()
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates(spark, k):
+@pytest.mark.parametrize(("k", "bits"), [(4, 64), (5, 64), (4, 3)])  # with 3 bits most sets share their number with others
+def test_near_duplicates(spark, k, bits):
     random.seed(5)
     vocabulary = [f"w{i}" for i in range(500)] + ["Été", "A.B"]
     common = [random.choice(vocabulary) for _ in range(50)]
@@ -93,7 +93,7 @@ def test_near_duplicates(spark, k):
         if rows[x][0] is not None:
             least[t] = min(least.get(t, rows[x][0]), rows[x][0])
     want = collections.Counter((rows[x][0], len(sets[x]), least.get(tops[x]) if sets[x] else rows[x][0]) for x in range(len(rows)))
-    got = near_duplicates.near_duplicates(frame(spark, rows), shingle=k).collect()
+    got = near_duplicates.near_duplicates(frame(spark, rows), shingle=k, bits=bits).collect()
     assert collections.Counter(tuple(r)[:3] for r in got) == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
     kept = near_duplicates.deduplicated(frame(spark, rows), shingle=k)

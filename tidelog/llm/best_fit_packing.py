@@ -5,7 +5,8 @@ first piece may be shorter. Pieces are dealt by a hash into groups of bounded si
 best-fit decreasing. A group whose number of bins equals the best dual-feasible-function lower bound is certified:
 no packing of its pieces uses fewer. But several certified groups can have room left that one group would not, so
 every group releases its emptiest bins, and one with a gap to its bound the more of them; the pieces released by
-``fan`` groups meet and are packed again, until one group is left. A repacking that does not save bins is not taken.
+``fan`` groups meet and are packed again, until one group is left. How many bins a group releases is bounded; that
+decides how tight the packing is, never what is packed. A repacking that does not save bins is not taken.
 
 Defined results: a null or empty text is the end id alone; a null doc_id is kept; repeated rows are packed as
 documents of their own; an empty table gives no rows. Other columns of the input are ignored.
