@@ -35,7 +35,7 @@ PACKED = f"{PIECES}, sequence_id long, offset long, round int, group long, bins
 #: with special tokens are encoded whole.
 LAST = 0x24F
 #: Parts of texts whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def _plain(pattern: str) -> tuple[re.Pattern, re.Pattern]:
