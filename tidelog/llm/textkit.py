@@ -175,10 +175,3 @@ def distinct(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
         keep[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
         out, bounds = out[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
     return out, bounds
-
-
-def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A binary column of the slices of values between bounds, without a copy for each."""
-    values = np.ascontiguousarray(values)
-    size = values.dtype.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * size).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
