@@ -38,6 +38,8 @@ from tidelog.llm.cluster import documents, release, saved, ship, text_of
 LENGTH, GRAM = 200, 32
 HOT_SPANS = 20_000
 BUCKET_BYTES = 4 << 20
+#: Bytes of texts hashed at once: each takes over a hundred bytes of memory.
+PIECE = 1 << 18
 STRETCHES = "row long, lo int, hi int, anchor long, span long"
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -176,7 +178,7 @@ def _scan(length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0).to_numpy()
-            for a, _, data, offs in tk.pieces(batch.column(1)):
+            for a, _, data, offs in tk.pieces(batch.column(1), PIECE):
                 text, first, last, anchor, span = stretches(data, offs, length, min(GRAM, length))
                 own = [pa.array(rows[a + text]), pa.array((first - offs[text]).astype(np.int32)), pa.array((last - offs[text]).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(own, names=["row", "lo", "hi", "anchor", "span"])
@@ -200,7 +202,7 @@ def _cut_out(length: int):
 def _window_hashes(length: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offs in tk.pieces(batch.column(2)):
+            for a, b, data, offs in tk.pieces(batch.column(2), PIECE):
                 counts = np.diff(offs) - length + 1
                 owner = np.repeat(np.arange(b - a), counts)
                 shift = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
