@@ -3,9 +3,9 @@
 A list is the nodes posted under one key. Large lists are mostly members of one group, so the first step tries one
 pair per node, with the most central member of its lists, and joins the confirmed pairs into groups. Further turns
 work on the lists that still hold members of several groups: each of their nodes tries one member, another one each
-turn, of its lists' largest other group (``DRAWS`` of them), and one of a group that changes with the turn; confirmed
+turn, of its lists' largest other group (``draws`` of them), and one of a group that changes with the turn; confirmed
 pairs join groups. So a node that is like a share p of a large group stays outside for t turns with a chance of about
-(1 - p)^(DRAWS t), and a turn costs at most DRAWS + 1 pairs per node. Turns end when few pairs are confirmed. What is left then is nodes with almost
+(1 - p)^(draws t), and a turn costs at most draws + 1 pairs per node. Turns end when few pairs are confirmed. What is left then is nodes with almost
 no link into their lists' groups; the last step enumerates, so that no link between groups is lost, the pairs of
 members of different groups that a sound bound on the nodes' features does not rule out. A pair inside one group needs
 no test: a list of n members of one group costs n pairs.
@@ -99,15 +99,15 @@ class _Linker:
         release(self.spark)
         return linked, pairs.count(), linked.count()
 
-    def attempts(self, named: DataFrame, turn: int) -> DataFrame:
+    def attempts(self, named: DataFrame, turn: int, draws: int) -> DataFrame:
         """(x, y, u, v): for each node members of its lists' largest other group, and one of another group."""
-        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)).alias("h"), "node"))["node"].alias(f"y{i}") for i in range(DRAWS)]
+        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)).alias("h"), "node"))["node"].alias(f"y{i}") for i in range(draws)]
         own = named.groupBy("key", "label").agg(F.count("*").alias("n"), *drawn)
-        most = F.max(F.struct("n", F.col("label").alias("l"), *(f"y{i}" for i in range(DRAWS)))).alias("most")
+        most = F.max(F.struct("n", F.col("label").alias("l"), *(f"y{i}" for i in range(draws)))).alias("most")
         some = F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), F.col("label").alias("l"), F.col("y0").alias("y"))).alias("some")
         tops = own.groupBy("key").agg(most, some)
-        to = [F.struct(F.lit(i).alias("kind"), F.col("most.l").alias("l"), F.col(f"most.y{i}").alias("y")) for i in range(DRAWS)]
-        to.append(F.struct(F.lit(DRAWS).alias("kind"), F.col("some.l").alias("l"), F.col("some.y").alias("y")))
+        to = [F.struct(F.lit(i).alias("kind"), F.col("most.l").alias("l"), F.col(f"most.y{i}").alias("y")) for i in range(draws)]
+        to.append(F.struct(F.lit(draws).alias("kind"), F.col("some.l").alias("l"), F.col("some.y").alias("y")))
         each = named.join(tops, "key").select(F.col("node").alias("x"), F.col("label").alias("u"), F.explode(F.array(*to)).alias("to"))
         each = each.where("u <> to.l").groupBy("x", "u", "to.kind", "to.y", F.col("to.l").alias("v")).agg(F.count("*").alias("n"))
         return each.groupBy("x", "kind").agg(F.max_by(F.struct("y", "u", "v"), F.struct("n", "y")).alias("p")).select("x", "p.y", "p.u", "p.v")
@@ -141,13 +141,13 @@ def _moved(linked: DataFrame) -> DataFrame:
     return near.join(beyond, "v").select(F.col("u").alias("label"), F.col("w").alias("to"))
 
 
-def groups(lists: DataFrame, features: DataFrame, possible: Possible, verify: Verify, turns: int = TURNS) -> DataFrame:
+def groups(lists: DataFrame, features: DataFrame, possible: Possible, verify: Verify, turns: int = TURNS, draws: int = DRAWS) -> DataFrame:
     """(node, label) of the nodes in groups of two or more.
 
     lists: (key, node, pivot) as ``lists_of`` makes them, a saved table; it is discarded. features: a row per node.
     possible: of two prefixes of feature columns, false only if such nodes cannot be a link. verify: gets distinct
     candidate pairs (a, b, and more columns), a < b, and returns the rows of those that are links. The groups are those
-    of all links between nodes that share a key, whatever the number of turns is.
+    of all links between nodes that share a key, whatever the numbers of turns and draws are.
     """
     work = _Linker(features, possible, verify)
     stars = lists.where("node <> pivot").groupBy("pivot", "node").agg(F.count("*").alias("n"))
@@ -161,7 +161,7 @@ def groups(lists: DataFrame, features: DataFrame, possible: Possible, verify: Ve
     for turn in range(turns):
         if named.isEmpty():
             break
-        linked, tried, found = work.confirmed(work.attempts(named, turn))
+        linked, tried, found = work.confirmed(work.attempts(named, turn, draws))
         used.append(linked)
         if found:
             moved = named.join(_moved(linked), "label", "left").select("key", "node", F.coalesce("to", "label").alias("label"))
