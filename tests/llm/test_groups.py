@@ -135,7 +135,7 @@ def some_pairs(most):
 def test_edit_similarity(spark):
     for (x, y), got in similar_pairs(spark, some_pairs(12)).items():
         edits, words_ = distance(x.split(), y.split()), max(len(x.split()), len(y.split()))
-        want = 5 * distance(x, y) <= max(len(x), len(y)) and (words_ <= 12 or edits <= 30 * words_ // 100)
+        want = 5 * distance(x, y) <= max(len(x), len(y)) and (words_ < 5 or edits <= (30 if words_ > 12 else 40) * words_ // 100)
         assert got == want, (x, y)
 
 
