@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 1 << 20
+#: Bytes of texts that are worked on at once: each takes over a hundred bytes of memory.
+CHUNK = 1 << 18
 _rng = np.random.default_rng(20240229)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
