@@ -115,8 +115,8 @@ def distance(a, b):
 
 
 def similar_pairs(spark, pairs):
-    codes = {f"{c}_code": line_dedup.coded(line_dedup.hashes_of(F.split(c, " "))) for c in "xy"} | {f"{c}_size": F.length(c) for c in "xy"}
-    return {(r["x"], r["y"]): r["s"] for r in spark.createDataFrame(pairs, "x string, y string").withColumns(codes).select("x", "y", line_dedup.similar(80).alias("s")).collect()}
+    sizes = {f"{c}_size": F.length(c) for c in "xy"}
+    return {(r["x"], r["y"]): r["s"] for r in spark.createDataFrame(pairs, "x string, y string").withColumns(sizes).select("x", "y", line_dedup.similar(80).alias("s")).collect()}
 
 
 def some_pairs(most):
@@ -133,29 +133,29 @@ def some_pairs(most):
 
 
 def test_edit_similarity(spark):
-    for (x, y), got in similar_pairs(spark, some_pairs(12)).items():
-        edits, words_ = distance(x.split(), y.split()), max(len(x.split()), len(y.split()))
-        want = 5 * distance(x, y) <= max(len(x), len(y)) and (words_ < 5 or edits <= (30 if words_ > 12 else 40) * words_ // 100)
-        assert got == want, (x, y)
-
-
-def test_edit_similarity_of_long_lines_is_of_words(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "LONG", 0)
-    found = similar_pairs(spark, [p for p in some_pairs(30) if max(len(x.split()) for x in p) > 12])
+    """Nothing but the edit distance counts, of however many words and characters."""
+    found = similar_pairs(spark, some_pairs(12) + some_pairs(30))
     for (x, y), got in found.items():
-        assert got == (5 * distance(x.split(), y.split()) <= max(len(x.split()), len(y.split()))), (x, y)
+        assert got == (5 * distance(x, y) <= max(len(x), len(y))), (x, y)
     assert 20 < sum(found.values()) < len(found)
 
 
-def test_edit_similarity_of_very_long_lines(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "LONGEST", 12)
-    base = [f"w{i}" for i in range(40)]
-    swap = lambda places: " ".join("x" if i in places else w for i, w in enumerate(base))
+@pytest.mark.parametrize("n", [6, 14, 40, 100])
+def test_one_character_of_every_word_may_differ(spark, n):
+    random.seed(n)
+    own = ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    far = [w[:2] + "xy" + w[4:] for w in own]
+    near = [w[:2] + "x" + w[3:] for w in own]
+    assert [similar_pairs(spark, [(" ".join(own), " ".join(other))]).popitem()[1] for other in (near, far)] == [True, False]
+
+
+def test_edit_similarity_of_very_long_lines(spark):
+    """A word more at one end and one less at the other, of 2,500 words."""
+    random.seed(7)
+    base = ["".join(random.choice("abcdefgh") for _ in range(4)) for _ in range(2500)]
+    moved, other = base[1:] + ["y"], ["".join(random.choice("ijkl") for _ in w) for w in base]
     own = " ".join(base)
-    more = " ".join(base[:20] + ["a b c d e"] + base[20:])
-    want = {swap({1, 9, 30}): True, swap(set(range(0, 40, 2))): False, more: True, " ".join(base[1:] + ["y"]): False}
-    monkeypatch.setattr(line_dedup, "LONG", 0)
-    assert {y: got for (_, y), got in similar_pairs(spark, [(own, y) for y in want]).items()} == want
+    assert {y: got for (_, y), got in similar_pairs(spark, [(own, " ".join(y)) for y in (moved, other)]).items()} == {" ".join(moved): True, " ".join(other): False}
 
 
 def test_line_dedup(spark):
