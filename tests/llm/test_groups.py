@@ -278,6 +278,23 @@ def test_lines_stay_out_of_python(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_parts_of_lines_are_never_saved(spark, monkeypatch):
+    """They take more room than the lines: before, a table of all lines and one of all forms held them."""
+    tables, real = [], line_dedup.saved
+    monkeypatch.setattr(line_dedup, "saved", lambda df: tables.append(dict(df.dtypes)) or real(df))
+    rows = [(i, f"line {i} of some words that stand here\nthe same line of words stands in all of these texts") for i in range(5)]
+    assert sum(r["n_removed"] for r in line_dedup.line_dedup(frame(spark, rows), radius=None).collect()) == 8
+    assert tables and not any(kind == "array<bigint>" for t in tables for kind in t.values())
+
+
+def test_lists_at_once_are_the_lists(spark):
+    random.seed(6)
+    posts = spark.createDataFrame([(random.randrange(60), n, n % 7) for n in range(150)] + [(99, n, 1) for n in range(80)], "key long, node long, weight int")
+    once, twice = ({(r["key"], r["node"]): r["pivot"] for r in make(posts).collect()} for make in (linking.lists_at_once, linking.lists_of))
+    assert once.keys() == twice.keys() and len(once) > 150
+    assert all(pivot == max((n % 7 if k < 99 else 1, n) for j, n in once if j == k)[1] for (k, _), pivot in once.items())
+
+
 # repeated passages
 
 
