@@ -363,6 +363,26 @@ def test_ids_are_the_tokenizers(spark, monkeypatch):
         assert np.frombuffer(packing.encode(text), "<u4").tolist() == ids
 
 
+def test_parts_that_come_again_stay_remembered(monkeypatch):
+    """Before, all parts were forgotten when they were too many, and common ones were encoded once more."""
+    monkeypatch.setattr(packing, "REMEMBERED", 400)
+    encoder, made = packing.Encoder(None), []
+    real = encoder.tokenizer
+
+    class Counting:
+        def tokenize(self, part):
+            made.append(part)
+            return real.model.tokenize(part)
+
+    encoder.known.model = Counting()
+    common = " ".join(f"common{chr(97 + i)}" for i in range(20))
+    for i in range(200):
+        text = f"{common} " + " ".join(f"rare{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}" for j in range(10))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == real.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) + len(encoder.known.before) <= 400 + 2 * 30
+    assert sum("rare" in p for p in made) == 2000 and sum("common" in p for p in made) == 20
+
+
 def test_packing(spark):
     rows = some_texts(200) + ODD + [(5000, "word and more " * 3000)]
     got = packing.best_fit_packing(frame(spark, rows), group_size=32).collect()

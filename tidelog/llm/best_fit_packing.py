@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -48,9 +49,35 @@ def _plain(pattern: str) -> tuple[re.Pattern, re.Pattern]:
     return re.compile(own), re.compile(f"[^\t\n\r -~\xa1-\xac\xae-{chr(LAST)}]|<[|]")
 
 
+def _shown() -> dict[int, str]:
+    """The character by which a byte-level model writes each byte: its own if that is visible, else one from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)).difference(visible)))}
+
+
+_SHOWN = _shown()
+
+
+class Parts(dict):
+    """Ids of parts of texts, made by the model when first asked for; those of an older generation are taken over."""
+
+    def __init__(self, model, before: dict[str, bytes]):
+        super().__init__()
+        self.model, self.before = model, before
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.before.get(part)
+        if ids is None:
+            made = self.model.tokenize(part.encode().decode("latin-1").translate(_SHOWN))
+            ids = struct.pack(f"<{len(made)}I", *[token.id for token in made])
+        self[part] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as the tokenizer gives them. A byte-level tokenizer merges within the parts into which its pattern
-    splits a text; parts come again and again, so each is encoded once and remembered."""
+    splits a text; most parts come again, so they are remembered. There are two generations of them: when the younger one
+    is half of ``REMEMBERED``, those parts are forgotten that have not come since it began."""
 
     def __init__(self, path: str | None):
         import public_tokenizers
@@ -60,19 +87,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         # the pattern belongs to the default file
         self.pattern, self.other = _plain(public_tokenizers.PATTERN) if path is None else (None, None)
-        self.known: dict[str, bytes] = {}
+        self.known = Parts(self.tokenizer.model, {})
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if self.pattern is None or self.other.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = self.pattern.findall(text)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if new := list(set(parts).difference(self.known)):
-            made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update(zip(new, [np.array(m.ids, "<u4").tobytes() for m in made], strict=True))
-        return b"".join(map(self.known.__getitem__, parts))
+        if 2 * len(self.known) > REMEMBERED:
+            self.known.before = {}
+            self.known = Parts(self.known.model, self.known)
+        return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
 
 
 @cache
