@@ -63,6 +63,41 @@ def test_groups_of_lists_lose_no_link(spark, turns):
             assert (got.get(a, a) == got.get(b, b)) == (tops[a] == tops[b])
 
 
+@pytest.mark.parametrize("short", [5, 100])
+def test_short_lists_lose_no_link_and_take_no_turns(spark, monkeypatch, short):
+    """Before, each node of a list of two or three was tried in each turn, and such lists are most."""
+    random.seed(4)
+    lists = {k: random.sample(range(300), random.choice([2, 3, 5, 30])) for k in range(80)}
+    posts = spark.createDataFrame([(k, n, n % 7) for k, own in lists.items() for n in own], "key long, node long, weight int")
+    nodes, seen = posts.select("node").distinct().withColumn("at", F.col("node")), []
+    near = lambda x, y: F.abs(F.col(f"{x}_at") - F.col(f"{y}_at")) <= 9
+    real = linking._Linker.attempts
+    monkeypatch.setattr(linking._Linker, "attempts", lambda work, named, *more: seen.extend(r["key"] for r in named.collect()) or real(work, named, *more))
+    exact = (nodes, lambda x, y: F.abs(F.col(f"{x}_at") - F.col(f"{y}_at")) <= 2)
+    got = {r["node"]: r["label"] for r in linking.groups(linking.lists_of(posts), nodes, near, lambda pairs: pairs.where("abs(a - b) <= 2"), exact=exact, short=short).collect()}
+    assert all(len(lists[k]) > short for k in seen) and bool(seen) == (short < 30)
+    tops = grouped({n for own in lists.values() for n in own}, [(a, b) for own in lists.values() for a in own for b in own if a < b <= a + 2])
+    assert all((got.get(a, a) == got.get(b, b)) == (tops[a] == tops[b]) for a in tops for b in tops)
+
+
+def test_last_step_shuffles_lines_once(spark, tmp_path):
+    """Before, the two sides of its join were two tables, and each was shuffled."""
+    tables = {"named": [(1, 10, 10), (1, 11, 11)], "forms": [(10, 5, "abcde"), (11, 5, "abcdf")]}
+    for (name, rows), kind in zip(tables.items(), ("key long, node long, label long", "node long, size int, form string"), strict=True):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / name))
+    named, forms = (spark.read.parquet(str(tmp_path / name)) for name in tables)
+    work = linking._Linker(forms.drop("form"), lambda x, y: line_dedup.near_sizes(F.col(f"{x}_size"), F.col(f"{y}_size"), 80), None)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = work.rest(named, (forms, lambda x, y: line_dedup.similar(80, f"{x}_form", f"{y}_form", f"{x}_size", f"{y}_size")))
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in pairs.collect()] == [(10, 11, 10, 11)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    made = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(made) == 2 and sum("ReusedExchange" in line for line in made) == 1
+
+
 # near-duplicates
 
 
