@@ -80,6 +80,24 @@ def test_short_lists_lose_no_link_and_take_no_turns(spark, monkeypatch, short):
     assert all((got.get(a, a) == got.get(b, b)) == (tops[a] == tops[b]) for a in tops for b in tops)
 
 
+def test_last_step_takes_some_lists_at_a_time(spark, monkeypatch):
+    """Before, all postings met the wide features at once, and pairs of one list were tested before the last step and in it."""
+    random.seed(5)
+    lists = {k: random.sample(range(100), random.choice([2, 9, 30])) for k in range(60)}
+    posts = spark.createDataFrame([(k, n, n % 7) for k, own in lists.items() for n in own], "key long, node long, weight int")
+    nodes, seen, tried = posts.select("node").distinct().withColumn("at", F.col("node")), [], []
+    settle, confirm = linking._Linker.settled, linking._Linker.confirmed
+    monkeypatch.setattr(linking._Linker, "settled", lambda work, named, *more: seen.append([(r["key"], r["node"]) for r in named.collect()]) or settle(work, named, *more))
+    monkeypatch.setattr(linking._Linker, "confirmed", lambda work, pairs: tried.append([(r["x"], r["y"]) for r in pairs.collect()]) or confirm(work, pairs))
+    exact = (nodes, lambda x, y: F.abs(F.col(f"{x}_at") - F.col(f"{y}_at")) <= 2)
+    got = {r["node"]: r["label"] for r in linking.groups(linking.lists_of(posts), nodes, lambda x, y: F.lit(True), lambda pairs: pairs.where("abs(a - b) <= 2"), exact=exact).collect()}
+    assert len(seen) > 2 and 2 * max(map(len, seen)) <= sum(map(len, seen))
+    assert len({k for rows in seen for k, _ in rows}) == sum(len({k for k, _ in rows}) for rows in seen)  # a list is in one part
+    assert tried[0] and all(sum(x in own and y in own for own in lists.values()) > 1 for pairs in tried[:-1] for x, y in pairs)
+    tops = grouped({n for own in lists.values() for n in own}, [(a, b) for own in lists.values() for a in own for b in own if a < b <= a + 2])
+    assert all((got.get(a, a) == got.get(b, b)) == (tops[a] == tops[b]) for a in tops for b in tops)
+
+
 def test_last_step_shuffles_lines_once(spark, tmp_path):
     """Before, the two sides of its join were two tables, and each was shuffled."""
     tables = {"named": [(1, 10, 10), (1, 11, 11)], "forms": [(10, 5, "abcde"), (11, 5, "abcdf")]}
