@@ -80,6 +80,18 @@ def test_short_lists_lose_no_link_and_take_no_turns(spark, monkeypatch, short):
     assert all((got.get(a, a) == got.get(b, b)) == (tops[a] == tops[b]) for a in tops for b in tops)
 
 
+def test_lists_of_dozens_of_lines_take_no_turns(spark, monkeypatch):
+    """Before, lists of more than 8 lines did, and a turn shuffles several rows for each line of each list."""
+    random.seed(31)
+    word = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    lines = [" ".join(["shared words stand", *(word() for _ in range(12 + i))]) for i in range(40)]
+    copies = [" ".join(line.split()[:-1] + [word()]) for line in lines[:10]]
+    seen, real = [], linking._Linker.attempts
+    monkeypatch.setattr(linking._Linker, "attempts", lambda work, named, *more: seen.extend(named.collect()) or real(work, named, *more))
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(frame(spark, list(enumerate(lines + copies))), radius=None).collect()}
+    assert {i for i, n in out.items() if n} == set(range(40, 50)) and not seen
+
+
 def test_last_step_takes_some_lists_at_a_time(spark, monkeypatch):
     """Before, all postings met the wide features at once, and pairs of one list were tested before the last step and in it."""
     random.seed(5)
