@@ -128,6 +128,21 @@ def test_last_step_shuffles_lines_once(spark, tmp_path):
     assert len(made) == 2 and sum("ReusedExchange" in line for line in made) == 1
 
 
+def test_runs_in_unlike_surroundings_make_no_candidates(spark, monkeypatch):
+    """Before, the last step took the distance of each two lines that share a run; links stay, also of lines whose runs all stand many times."""
+    random.seed(41)
+    words = lambda n: ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n)]
+    lines = [[*words(20), *"the same few words stand".split(), *words(20)] for _ in range(30)]
+    copies = [[w if i % 6 else words(1)[0] for i, w in enumerate(line)] for line in lines[:5]]
+    chant = words(4) * 15
+    rows = [" ".join(line) for line in [*lines, chant, *copies, [*chant[:30], *words(5), *chant[35:]]]]
+    settled, tried, real = [], [], linking._Linker.confirmed
+    monkeypatch.setattr(linking._Linker, "settled", lambda *_: settled.append(1))
+    monkeypatch.setattr(linking._Linker, "confirmed", lambda work, pairs: tried.append(pairs.count()) or real(work, pairs))
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(frame(spark, list(enumerate(rows))), radius=None).collect()}
+    assert {i for i, n in out.items() if n} == set(range(31, 37)) and not settled and tried[-1] < 30
+
+
 # near-duplicates
 
 
